@@ -105,7 +105,27 @@ def _moved(at: str, m: str, floor: bool) -> str:
 
 
 def julian(at: str) -> str:
-    return f"(unix_micros({at}) / 86400000000.0D + 2440587.5D)"
+    return f"((unix_millis({at}) + 210866760000000L) / 86400000.0D)"
+
+
+def exact_round(x: str, digits: int) -> str:
+    """Rounds the exact binary value half away from zero.
+
+    The product with the power of ten is kept as a rounded double and its exact error, by splitting
+    both factors; the error decides where the rounded product seems to lie halfway.
+    """
+    scale = 10.0**digits
+    cut = 134217729.0 * scale
+    high = cut - (cut - scale)
+    low = scale - high
+    v = f"abs({x})"
+    p = f"({v} * {scale!r}D)"
+    vh = f"(134217729.0D * {v} - (134217729.0D * {v} - {v}))"
+    vl = f"({v} - {vh})"
+    error = f"((({vh} * {high!r}D - {p}) + {vh} * {low!r}D + {vl} * {high!r}D) + {vl} * {low!r}D)"
+    rest = f"({p} - floor({p}))"
+    up = f"CASE WHEN {rest} > 0.5D OR ({rest} = 0.5D AND {error} >= 0) THEN 1 ELSE 0 END"
+    return f"CASE WHEN {p} >= 4503599627370496.0D THEN {x} ELSE sign({x}) * (floor({p}) + {up}) / {scale!r}D END"
 
 
 def _week(at: str, first: int) -> str:
@@ -124,7 +144,7 @@ def strftime(args: list[E]) -> E:
         "l": pad(twelve, 2, " "), "m": fmt("MM"), "M": fmt("mm"), "p": f"CASE WHEN hour({at}) < 12 THEN 'AM' ELSE 'PM' END", "P": f"CASE WHEN hour({at}) < 12 THEN 'am' ELSE 'pm' END",
         "R": fmt("HH:mm"), "s": f"cast(unix_seconds({at}) AS STRING)", "S": fmt("ss"), "T": fmt("HH:mm:ss"), "u": f"cast(weekday({at}) + 1 AS STRING)", "w": f"cast(dayofweek({at}) - 1 AS STRING)",
         "U": _week(at, 0), "W": _week(at, 1), "V": pad(f"weekofyear({at})", 2), "G": f"cast(extract(YEAROFWEEK FROM {at}) AS STRING)", "g": pad(f"extract(YEAROFWEEK FROM {at}) % 100", 2),
-        "Y": fmt("yyyy"), "J": f"cast(round({julian(at)}, 9) AS STRING)", "%": "'%'",
+        "Y": fmt("yyyy"), "J": f"cast({exact_round(julian(at), 9)} AS STRING)", "%": "'%'",
     }
     parts, rest = [], ""
     i = 0

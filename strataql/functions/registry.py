@@ -160,27 +160,7 @@ def _round(a: list[E]) -> E:
         digits = min(max(int(a[1].sql), 0), 30)
     except ValueError:
         return E(f"s_round({_r(a[0])}, {as_int(a[1]).sql})", "real")
-    return E(_exact_round(_r(a[0]), digits) if digits <= 15 else f"s_round({_r(a[0])}, {digits})", "real")
-
-
-def _exact_round(x: str, digits: int) -> str:
-    """Rounds the exact binary value half away from zero.
-
-    The product with the power of ten is kept as a rounded double and its exact error, by splitting
-    both factors; the error decides where the rounded product seems to lie halfway.
-    """
-    scale = 10.0**digits
-    cut = 134217729.0 * scale
-    high = cut - (cut - scale)
-    low = scale - high
-    v = f"abs({x})"
-    p = f"({v} * {scale!r}D)"
-    vh = f"(134217729.0D * {v} - (134217729.0D * {v} - {v}))"
-    vl = f"({v} - {vh})"
-    error = f"((({vh} * {high!r}D - {p}) + {vh} * {low!r}D + {vl} * {high!r}D) + {vl} * {low!r}D)"
-    rest = f"({p} - floor({p}))"
-    up = f"CASE WHEN {rest} > 0.5D OR ({rest} = 0.5D AND {error} >= 0) THEN 1 ELSE 0 END"
-    return f"CASE WHEN {p} >= 4503599627370496.0D THEN {x} ELSE sign({x}) * (floor({p}) + {up}) / {scale!r}D END"
+    return E(dates.exact_round(_r(a[0]), digits) if digits <= 15 else f"s_round({_r(a[0])}, {digits})", "real")
 
 
 def _step(name: str) -> Callable[[list[E]], E]:

@@ -1,7 +1,8 @@
 """Changes to tables as DataFrames: inserts, upserts, updates, deletes, constraints and changesets.
 
 Every function takes the old state and gives the new one; nothing is modified in place. Rows are
-matched by key with null-safe joins on hash partitions of the key, never collected.
+matched by key with joins on hash partitions of the key, never collected. As in SQL, a null key is
+equal to no other: such rows never conflict, and changesets leave them out.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 def _on(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     out = F.lit(True)
     for k in keys:
-        out = out & a[k].eqNullSafe(b[k])
+        out = out & (a[k] == b[k])
     return out
 
 
@@ -23,7 +24,12 @@ def _last(rows: DataFrame, keys: list[str], order: list[str] | None, descending:
     """The last (or first) row of each key in the given order; all columns order where none is given."""
     order = order or rows.columns
     by = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).filter("__n = 1").drop("__n")
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    alone = rows.filter(~keyed)
+    rows = rows.filter(keyed)
+    return alone.union(rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).filter("__n = 1").drop("__n"))
 
 
 def insert(old: DataFrame, new: DataFrame, defaults: Mapping[str, Column] | None = None) -> DataFrame:
@@ -55,7 +61,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], updates: Mapping[str
     a, b = old.withColumn("__old", F.lit(True)).alias("old"), last.withColumn("__new", F.lit(True)).alias("excluded")
     match = F.lit(True)
     for k in keys:
-        match = match & F.col(f"old.{k}").eqNullSafe(F.col(f"excluded.{k}"))
+        match = match & (F.col(f"old.{k}") == F.col(f"excluded.{k}"))
     both = F.col("__old").isNotNull() & F.col("__new").isNotNull()
     applies = both & F.coalesce(where, F.lit(False)) if where is not None else both
 
@@ -120,7 +126,7 @@ def violations(rows: DataFrame, *, not_null: list[str] = (), unique: list[list[s
 
 def changeset(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each changed key: op (insert, update, delete), the key, and structs old and new."""
-    a, b = (df.select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(*old.columns).alias(side)) for df, side in ((old, "old"), (new, "new")))
+    a, b = (df.dropna(subset=keys).select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(*old.columns).alias(side)) for df, side in ((old, "old"), (new, "new")))
     joined = a.join(b, [f"__{k}" for k in keys], "full")
     op = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "delete").otherwise("update")
     return joined.filter(~F.col("old").eqNullSafe(F.col("new"))).select(op.alias("op"), *[F.col(f"__{k}").alias(k) for k in keys], "old", "new")

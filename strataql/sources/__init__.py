@@ -23,6 +23,7 @@ def read_folder(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
 
 def register_sources(spark: SparkSession) -> None:
     """Formats ``folder`` (fsdir), ``zipfile`` and ``sqlite``, with column pruning and pushed filters."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (FolderSource, ZipSource, SqliteSource):
         spark.dataSource.register(source)
 
