@@ -27,7 +27,7 @@ class ChunkCache:
             kept = []
         places = np.fromiter((old[c] for c in kept), np.int64, len(kept))
         lens = self.length[places]
-        flat = self.flat[_runs(self.start[places], lens)]
+        flat = self.flat[runs(self.start[places], lens)]
         self.index, self.n, self.used = {}, 0, 0
         self.flat, self.start, self.length, self.uses = np.zeros(1 << 14, np.int32), *(np.zeros(1024, np.int64) for _ in range(3))
         self._put(kept, flat, lens)
@@ -58,10 +58,10 @@ class ChunkCache:
         self.uses[: self.n] += uses[: self.n]
         lens = self.length[at]
         after = np.concatenate([[0], np.cumsum(lens)])
-        return self.flat[_runs(self.start[at], lens)], after[ends]
+        return self.flat[runs(self.start[at], lens)], after[ends]
 
 
-def _runs(start: np.ndarray, lens: np.ndarray) -> np.ndarray:
+def runs(start: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for the length of each run, in a row."""
     after = np.cumsum(lens)
     return np.repeat(start - (after - lens), lens) + np.arange(after[-1] if len(after) else 0)

@@ -16,14 +16,16 @@ from __future__ import annotations
 import bisect
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunk_cache import ChunkCache
-from .textbatch import byte_view, slices
+from .chunk_cache import ChunkCache, runs
+from .textbatch import HashedArray, byte_view, slices, word_spans
 from .workspace import Workspace
 
 SIZE = 4096
@@ -32,6 +34,8 @@ PARTS = 4
 END_ID = 1
 #: documents of one length are ranked in buckets; about so many in each
 BUCKET_ROWS = 20_000
+#: entries of a Python worker's caches, about 100 bytes each
+WORDS, NEW, STEMS = 300_000, 150_000, 400_000
 
 
 # --- tokens -------------------------------------------------------------------------------------
@@ -67,26 +71,101 @@ def word_encoder(path: str):
     return encode_many
 
 
+_PUNCTUATION = ".,;:!?"
+
+
+class WordTokens:
+    """ids of texts by their words: known words are found by hash in a sorted array, others in a cache of stems.
+
+    A word of ASCII characters has the ids of its lower-cased stem and those of one punctuation mark
+    after a letter or digit, as the tokenizer lowers and cuts there too. New words wait in a
+    dictionary; with ``NEW`` of them the array is built anew from the words used more than once.
+    """
+
+    def __init__(self, path: str):
+        encode = word_encoder(path)
+        self.marks = {p: int(encode([p])[0][0]) for p in _PUNCTUATION if len(encode([p])[0]) == 1}
+        self.stems = ChunkCache(encode, STEMS)
+        self._hold(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def _hold(self, keys: np.ndarray, flat: np.ndarray, length: np.ndarray) -> None:
+        self.keys, self.flat, self.length = [keys], [flat], [length]
+        self.start = np.cumsum(length) - length
+        self.known, self.new, self.n = HashedArray(keys), {}, len(keys)
+        self.uses = np.ones(self.n + NEW + 1, np.int64)
+
+    def _rebuild(self) -> None:
+        keys, flat, length = (np.concatenate(x) for x in (self.keys, self.flat, self.length))
+        start = np.cumsum(length) - length
+        least = 2 if (self.uses[: self.n] >= 2).sum() <= WORDS else int(np.partition(self.uses[: self.n], -WORDS)[-WORDS]) + 1
+        kept = np.flatnonzero(self.uses[: self.n] >= least)
+        self._hold(keys[kept], flat[runs(start[kept], length[kept])], length[kept])
+
+    def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows in a row and where each row's end."""
+        hashes, row, begin, end = word_spans(data, offs)
+        if len(self.new) > NEW // 2:
+            self._rebuild()
+        at = self.known.find(hashes).astype(np.int64)
+        miss = np.flatnonzero(at < 0)
+        at = self.known.order[at] if len(self.known.order) else at
+        if len(miss):
+            u, first, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            place = np.fromiter(map(self.new.get, u.tolist(), repeat(-1)), np.int64, len(u))
+            absent = np.flatnonzero(place < 0)
+            if len(absent) > NEW // 2 - 1:  # more at once than may wait: without holding them
+                self.uses = np.concatenate([self.uses, np.ones(len(absent), np.int64)])
+            if len(absent):
+                where = miss[first[absent]]
+                raw = data.tobytes()
+                flat, length = self._by_stems([raw[b:e].decode() for b, e in zip(begin[where].tolist(), end[where].tolist(), strict=True)])
+                place[absent] = np.arange(self.n, self.n + len(absent))
+                self.new.update(zip(u[absent].tolist(), place[absent].tolist(), strict=True))
+                self.keys.append(u[absent]), self.flat.append(flat), self.length.append(length)
+                self.start = np.concatenate([self.start, (self.start[-1] + self.length[-2][-1] if self.n else 0) + np.cumsum(length) - length])
+                self.n += len(absent)
+            at[miss] = place[back]
+        self.uses[: self.n] += np.bincount(at, minlength=self.n)[: self.n]
+        if len(self.flat) > 1:
+            self.flat, self.length = [np.concatenate(self.flat)], [np.concatenate(self.length)]
+        lens = self.length[0][at]
+        after = np.concatenate([[0], np.cumsum(lens)])
+        return self.flat[0][runs(self.start[at], lens)], after[np.searchsorted(row, np.arange(1, len(offs)))]
+
+    def _by_stems(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        stems, marks = [], np.full(len(chunks), -1, np.int32)
+        for k, c in enumerate(chunks):
+            if c.isascii():
+                if c[-1:] in self.marks and len(c) > 1 and c[-2].isalnum():
+                    marks[k] = self.marks[c[-1]]
+                    c = c[:-1]
+                c = c.lower()
+            stems.append(c)
+        ids, ends = self.stems.ids(stems, np.arange(1, len(stems) + 1))
+        has = marks >= 0
+        return np.insert(ids, ends[has], marks[has]), np.diff(ends, prepend=0) + has
+
+
+@lru_cache(maxsize=1)
+def cached_tokens(path: str) -> WordTokens:
+    """Kept for the Python worker's life: its later tasks begin with the words that it has met."""
+    return WordTokens(path)
+
+
 def token_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """id, piece, start, length and ids_crc32 of each piece of each row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = ChunkCache(word_encoder(path))
+        tokens = cached_tokens(path)
         for batch in batches:
-            col = batch.column(1)
-            _, offs = byte_view(col)
+            data, offs = byte_view(batch.column(1))
             row, piece, start, length, crc = [], [], [], [], []
             for i, j in slices(offs):
-                chunks: list[str] = []
-                ends = np.zeros(j - i, np.int64)
-                for k, text in enumerate(col.slice(i, j - i).to_pylist()):
-                    chunks += text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if text else ()
-                    ends[k] = len(chunks)
-                chunks_ids, ends = cache.ids(chunks, ends)
+                all_ids, ends = tokens.ids(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 begin = 0
                 for k, end in enumerate(ends.tolist()):
-                    ids = np.append(chunks_ids[begin:end], end_id).astype("<u4")
+                    ids = np.append(all_ids[begin:end], end_id).astype("<u4")
                     begin = end
                     for p, s in enumerate(range(0, len(ids), size)):
                         cut = ids[s : s + size]

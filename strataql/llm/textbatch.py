@@ -102,10 +102,10 @@ def _cuts(data: np.ndarray, starts: np.ndarray, is_break: np.ndarray) -> Iterato
         at = to
 
 
-def _spans(data: np.ndarray, offs: np.ndarray, is_break: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, row and start of every maximal run of bytes that aren't breaks, within rows."""
+def _spans(data: np.ndarray, offs: np.ndarray, is_break: np.ndarray, lut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, start and end of every maximal run of bytes that aren't breaks, within rows."""
     row_starts = offs[:-1]
-    hashes, begins = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    hashes, begins, ends = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a, b in _cuts(data, row_starts, is_break):
         part = data[a:b]
         inside = ~is_break[part]
@@ -127,8 +127,14 @@ def _spans(data: np.ndarray, offs: np.ndarray, is_break: np.ndarray, lut: np.nda
         np.cumsum(lut[part] * r[: b - a], out=sums[1:])
         hashes.append(mix((sums[end] - sums[start]) * rinv[start]))
         begins.append(start + a)
+        ends.append(end + a)
     begin = np.concatenate(begins)
-    return np.concatenate(hashes), np.searchsorted(offs, begin, "right") - 1, begin
+    return np.concatenate(hashes), np.searchsorted(offs, begin, "right") - 1, begin, np.concatenate(ends)
+
+
+def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, start and end of every word."""
+    return _spans(data, offs, SPACE, _BYTES)
 
 
 def words(data: np.ndarray, offs: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +148,7 @@ _NEWLINE[10] = True
 
 def lines_with_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash and row of every line split at \\n that holds a word."""
-    hashes, row, begin = _spans(data, offs, _NEWLINE, _BYTES)
+    hashes, row, begin, _ = _spans(data, offs, _NEWLINE, _BYTES)
     if not len(hashes):
         return hashes, row
     wordy = np.add.reduceat(~SPACE[data], begin, dtype=np.int64) > 0  # a span runs to the next; newlines between are spaces
@@ -185,7 +191,7 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class KeyCounter:
     """Counts of 64-bit keys in bounded memory: ``full`` says when to emit what is held."""
 
-    def __init__(self, limit: int = 1_500_000):
+    def __init__(self, limit: int = 1_000_000):
         self.limit, self.parts, self.size = limit, [], 0
 
     def add(self, keys: np.ndarray) -> None:
