@@ -48,8 +48,10 @@ def code_of(parts: Column) -> Column:
     return out
 
 
-def _masks(radius: int) -> list[int]:
-    return [sum(1 << i for i in c) for c in combinations(range(WIDTH), radius)]
+def _masks(radius: int) -> Column:
+    """All 16-bit values with so many bits, as one array literal (a node for each would swell the plan)."""
+    values = ",".join(str(sum(1 << i for i in c)) for c in combinations(range(WIDTH), radius))
+    return F.split(F.lit(values), ",").cast("array<int>")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -66,9 +68,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec
     best = Window.partitionBy("query").orderBy("distance", F.col("ids")[0])
     open_, closed, found = ws.write(asked.withColumnRenamed("code", "query"), "asked"), None, None
     for radius in range(WIDTH + 1):
-        masks = F.array(*(F.lit(m) for m in _masks(radius)))
-        probes = probe(open_.select("query", F.col("query").alias("code"))).select("query", "segment", F.explode(F.transform(masks, lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
-        hits = probes.join(index, ["segment", "value"]).select("query", "code", "ids", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
+        probes = probe(open_.select("query", F.col("query").alias("code"))).select("query", "segment", F.explode(F.transform(_masks(radius), lambda m: F.col("value").bitwiseXOR(m))).alias("value"))
+        # each query makes thousands of probes, which no estimate shows: neither side may be broadcast
+        hits = probes.join(index.hint("merge"), ["segment", "value"]).select("query", "code", "ids", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"))
         if found is not None:
             hits = hits.union(found.join(open_, "query", "left_semi").select(hits.columns))
         # a code may be met by several segments or radii: one row of each, then the k best
