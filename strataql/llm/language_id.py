@@ -1,7 +1,8 @@
 """Language identification by nearest centroids of TF-IDF n-gram vectors.
 
-A text's vector: its byte 1- to 3-grams (A-Z lower-cased) hashed to ``DIMS`` places, log(1 + count)
-times the inverse document frequency, length 1. The frequencies are counted over all training rows.
+A text's vector: its byte 1- to 3-grams (A-Z lower-cased, any run of ASCII bytes that aren't letters
+read as one space, so that symbols don't pass for a language) hashed to ``DIMS`` places,
+log(1 + count) times the inverse document frequency, length 1. The frequencies are counted over all training rows.
 Each language gets ``clusters`` centroids by spherical k-means over a bounded sample: the
 ``max_rows`` rows of smallest hash among its rows of ``max_bytes`` bytes at most. The prediction is
 the language of the nearest centroid by cosine. ``rejected`` marks texts that lie further from it
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textbatch import BLOCK, LOWER, U, byte_view, slices
+from .workspace import small_batches
 
 DIMS = 4096
 CLUSTERS = 3
@@ -41,29 +43,46 @@ class Model:
     least: np.ndarray  # cosine below which a centroid rejects
 
 
-def _slots(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    low = LOWER[data]
-    one = low.astype(np.int64)
+_LETTERS = np.where((np.arange(256) >= 128) | ((LOWER >= 97) & (LOWER <= 122)), LOWER, 32).astype(np.uint8)
+
+
+def _letters(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' letters, lowered, with one space for each run of other bytes."""
+    low = _LETTERS[data]
+    kept = low != 32
+    kept[1:] |= low[:-1] != 32
+    first = offs[:-1][offs[:-1] < offs[1:]]
+    kept[first] = True
+    return low[kept], np.concatenate([[0], np.cumsum(kept, dtype=np.int64)])[offs]
+
+
+def _slots(low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     two = (low[:-1].astype(np.uint32) * np.uint32(0x9E3779B1) + low[1:].astype(np.uint32) * np.uint32(0x85EBCA6B)) >> np.uint32(20)
     three = (low[:-2].astype(np.uint32) * np.uint32(0xC2B2AE35) + low[1:-1].astype(np.uint32) * np.uint32(0x27D4EB2F) + low[2:].astype(np.uint32) * np.uint32(0x165667B1)) >> np.uint32(20)
-    return one, two.astype(np.int64), three.astype(np.int64)
+    return low.astype(np.int64), two.astype(np.int64), three.astype(np.int64)
 
 
 def counts(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """Counts of the rows' grams in groups of few rows; a long row is counted block by block."""
     for i0, j0 in slices(offs):
-        for i in range(i0, j0, GROUP):
-            j = min(i + GROUP, j0)
-            m, out = j - i, np.zeros((j - i) * DIMS, np.int64)
-            for a in range(int(offs[i]), int(offs[j]), BLOCK):
-                b = min(a + BLOCK, int(offs[j]))
-                part = data[a : min(b + 2, int(offs[j]))]
-                row = np.repeat(np.arange(m), np.clip(np.minimum(offs[i + 1 : j + 1], a + len(part)) - np.maximum(offs[i:j], a), 0, None))
-                for k, slot in enumerate(_slots(part)):
-                    n = min(len(slot), b - a)
-                    same = row[:n] == row[k : n + k]
-                    out += np.bincount((row[:n] * DIMS + slot[:n])[same], minlength=m * DIMS)
-            yield i, j, out.reshape(m, DIMS)
+        part0, at0 = _letters(data[offs[i0] : offs[j0]], offs[i0 : j0 + 1] - offs[i0])
+        yield from _counted(part0, at0, i0)
+
+
+def _counted(data: np.ndarray, offs: np.ndarray, base: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    rows = len(offs) - 1
+    for i in range(0, rows, GROUP):
+        j = min(i + GROUP, rows)
+        m, out = j - i, np.zeros((j - i) * DIMS, np.int64)
+        for a in range(int(offs[i]), int(offs[j]), BLOCK):
+            b = min(a + BLOCK, int(offs[j]))
+            part = data[a : min(b + 2, int(offs[j]))]
+            row = np.repeat(np.arange(m), np.clip(np.minimum(offs[i + 1 : j + 1], a + len(part)) - np.maximum(offs[i:j], a), 0, None))
+            for k, slot in enumerate(_slots(part)):
+                n = min(len(slot), b - a)
+                same = row[:n] == row[k : n + k]
+                out += np.bincount((row[:n] * DIMS + slot[:n])[same], minlength=m * DIMS)
+        yield base + i, base + j, out.reshape(m, DIMS)
 
 
 def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -89,6 +108,7 @@ def _k_means(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = CLUSTERS, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+    small_batches(train.sparkSession)
     rows = train.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +145,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score (the cosine, 0 to 1) and rejected of each row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
