@@ -82,7 +82,7 @@ class Gap:
     reason: str
 
 
-_NEXT = re.compile(rb"(?:^|(?<=\n))WARC/1\.\d\r?\n")
+_NEXT = re.compile(rb"WARC/1\.\d\r?\n")
 
 
 def _payload(record: Record) -> tuple[bytes, int]:
@@ -108,7 +108,10 @@ def _record(data: bytes, at: int) -> tuple[Record | None, int, str]:
         name, colon, value = line.partition(b":")
         if not colon:
             return None, at, "broken header line"
-        headers[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        name = name.decode("latin-1").strip().lower()
+        if name in headers and name in ("content-length", "warc-type", "warc-record-id"):
+            return None, at, "a header twice"  # two records have run together
+        headers[name] = value.decode("utf-8", "replace").strip()
     if not headers.get("content-length", "").isdecimal():
         return None, at, "no content length"
     begin = end + 4
