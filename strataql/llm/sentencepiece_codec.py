@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +27,14 @@ from pyspark.sql import functions as F
 
 from .chunk_cache import ChunkCache
 from .textbatch import byte_view, slices
+from .workspace import small_batches
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 
 
 class Codec:
-    """Pieces and scores of a model file, with its automaton; made once in each worker's task."""
+    """Pieces and scores of a model file, with its automaton; made once in each Python worker."""
 
     def __init__(self, path: str, cache_limit: int = 250_000):
         import ahocorasick
@@ -126,12 +128,19 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
+@lru_cache(maxsize=1)
+def cached_codec(path: str) -> Codec:
+    """Kept for the Python worker's life."""
+    return Codec(path)
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ids (array<int>) of each row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = cached_codec(path)
         for batch in batches:
             for i, j, ids, ends in _encoded(codec, batch.column(1)):
                 part = batch.slice(i, j - i)
@@ -150,10 +159,11 @@ def _encoded(codec: Codec, col: pa.Array) -> Iterator[tuple[int, int, np.ndarray
 
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id and text of each row of ids."""
+    small_batches(rows.sparkSession)
     rows = rows.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = cached_codec(path)
         for batch in batches:
             texts = [None if ids is None else codec.decode(ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
@@ -167,10 +177,11 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     Encodes and decodes in one pass, so that ids needn't be written: piece texts are joined in numpy
     order and compared with the text.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = cached_codec(path)
         names = [" ⁇ " if i == codec.unknown else "" if i in codec.special else p.replace(MARK, " ") for i, p in enumerate(codec.pieces)]
         is_byte = np.zeros(len(names), bool)
         is_byte[list(codec.id_byte)] = True

@@ -13,6 +13,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts by bytes: ten thousand rows, Spark's other bound, may be any size."""
+    told = spark.conf.get(BATCHES, "64m")
+    if not told.rstrip("b").isdecimal() or int(told.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCHES, str(BATCH_BYTES))
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -30,6 +39,7 @@ class Workspace:
     """A folder of its own under the shared root for one run of one operator."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
