@@ -3,7 +3,8 @@
 The n-gram model is modified Kneser-Ney over bytes, counted by Spark over all rows and kept in
 sorted hash arrays (ngram_model). A row's perplexity is taken per byte. Each language has a lower
 and an upper band around its median, as wide as ``width`` times the distance between its quartiles
-on that side (``least_spread`` of log perplexity at least), from all rows that pass the base rules.
+on that side (``least_spread`` of log perplexity at least), from all rows that pass the base rules;
+for a text of n bytes both are wider by sqrt(SHORT / n), as short texts scatter more.
 
 Defined cases: a null text is empty and fails the base rules; a null language is a language of its
 own; repeated rows are judged each; an empty table gives no rows; extra columns are ignored.
@@ -25,7 +26,8 @@ from .workspace import Workspace
 ORDER = 3
 MAX_ENTRIES = 3_000_000
 WIDTH = 6.0
-LEAST_SPREAD = 0.05
+LEAST_SPREAD = 0.02
+SHORT = 100
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 #: code points: bytes that aren't continuations; inside words: that aren't spaces
@@ -92,7 +94,7 @@ def measure(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: st
         else:  # equal rows have equal sums, so one of them is enough
             more = part.groupBy("id", "mark").agg(F.first("log_sum").alias("more")).withColumnsRenamed({"id": "id2", "mark": "mark2"})
             out = out.join(more, out["id"].eqNullSafe(more["id2"]) & (out["mark"] == more["mark2"])).withColumn("log_sum", F.col("log_sum") + F.col("more")).drop("id2", "mark2", "more")
-    return out.withColumn("log_ppl", -F.col("log_sum") / F.col("n_grams")).drop("log_sum", "n_grams")
+    return out.withColumn("log_ppl", -F.col("log_sum") / F.col("n_grams")).drop("log_sum")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, width: float = WIDTH, least_spread: float = LEAST_SPREAD, max_entries: int = MAX_ENTRIES) -> DataFrame:
@@ -103,7 +105,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.withColumn("base_failed", failed)
     q = rows.filter(~F.col("base_failed")).groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10000).alias("q"))
     below, above = (F.greatest(a - b, F.lit(least_spread)) for a, b in ((F.col("q")[1], F.col("q")[0]), (F.col("q")[2], F.col("q")[1])))
-    bands = q.select("of", (F.col("q")[1] - width * below).alias("ppl_low"), (F.col("q")[1] + width * above).alias("ppl_high"))
-    out = rows.join(bands, rows["lang"].eqNullSafe(bands["of"]), "left")
+    bands = q.select("of", F.col("q")[1].alias("middle"), (width * below).alias("below"), (width * above).alias("above"))
+    wider = 1 + F.sqrt(SHORT / F.col("n_grams"))
+    out = rows.join(bands, rows["lang"].eqNullSafe(bands["of"]), "left").withColumns({"ppl_low": F.col("middle") - F.col("below") * wider, "ppl_high": F.col("middle") + F.col("above") * wider})
     kept = ~F.col("base_failed") & F.col("log_ppl").between(F.col("ppl_low"), F.col("ppl_high"))
     return out.select(F.col("id").alias(id_col), "mark", F.col("lang").alias(lang_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_ppl", "ppl_low", "ppl_high", F.coalesce(kept, F.lit(False)).alias("kept"))
