@@ -3,15 +3,17 @@
 A document's set holds its distinct ``N``-word shingles; two documents link when their sets' Jaccard
 similarity is ``PERCENT`` hundredths or more, and a class is what links reach.
 
-Equal sets are classed by digest first. The others are sorted by estimated frequency (shingles seen
-at least twice in a task are counted; all others come first, by hash). With overlap t needed, two
-linked documents share at least l shingles among their first n - t + l. Each document picks its own
-l: a longer prefix meets more candidates, of which fewer share l shingles, and the cheaper total by
-the estimated frequencies wins. A pair must share the smaller l of its two. A shingle that one
-prefix alone holds is dropped after a single shuffle.
+Equal sets are classed by digest first. The others are sorted by estimated frequency, ties by hash:
+shingles seen twice or more in a task, or in a sample of one document in ``SAMPLE``, are counted;
+all others come first. With overlap t needed, two linked documents share at least l shingles among
+their first n - t + l. Each document picks its own l from multiples of least_matches(n): a longer
+prefix meets more candidates, of which fewer share l shingles, and the cheaper total by estimated
+frequencies wins. A pair must share the smaller l of its two. A shingle that one prefix alone holds
+is dropped after a single shuffle, and so is a document that shares too few with all others together.
+Where pairs are made, their two sizes shorten both prefixes further.
 
 What is left is verified on whole sets. As classes are wanted, pairs of large groups aren't all
-made: two rounds verify each document with one leader that shares most of its prefix, and the last
+made: first rounds verify each document with one leader that shares most of its prefix, and the last
 round makes every pair that still lies in two classes, so no link between classes is lost.
 
 Defined cases: a text without words, or null, has an empty set and is a class alone; fewer than N
@@ -37,9 +39,15 @@ N = 5
 PERCENT = 75
 #: shingles whose frequency is broadcast; those beyond it count as rare, which costs time alone
 HOT = 1 << 18
-LONGEST = 6
-#: costs of meeting a candidate in a list and of verifying one shingle of it
-MEET, VERIFY = 1.0, 0.05
+#: an estimate from which a shingle's rows are dealt out over SALTS lists
+HEAVY, SALTS = 20_000, 64
+#: one document in SAMPLE has all its shingles counted for the order; it bears on cost alone
+SAMPLE = 16
+#: multiples of least_matches(n) that l is chosen from
+STEPS = (1, 2, 3, 4)
+#: costs of a prefix row, of meeting a candidate in its list and of verifying one shingle, and the
+#: other documents that a shingle of unknown frequency is taken to have
+ROW, MEET, VERIFY, UNKNOWN = 1.0, 1.0, 0.05, 0.2
 BITS = 1 << 23
 ROUNDS = 2
 
@@ -84,65 +92,106 @@ def _digests(keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _first_pass(rows: DataFrame, n: int) -> DataFrame:
-    """kind 0: id, size and digest of each row's set; kind 1: shingles seen twice or more in a task, and how often."""
+    """kind 0: id, size and digest of each row's set; kind 1: shingles seen twice or more in a task, and how often; kind 2: those of sampled rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = KeyCounter()
+        seen, some = KeyCounter(1_000_000), KeyCounter(500_000)
         names = ["kind", "id", "n", "d1", "d2"]
 
-        def frequent(kind_type: pa.DataType) -> pa.RecordBatch:
-            keys, counts = seen.take()
-            keys, counts = keys[counts > 1], counts[counts > 1]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.nulls(len(keys), kind_type), pa.array(counts), pa.array(keys.view(np.int64)), pa.array(np.zeros(len(keys), np.int64))], names=names)
+        def counts_of(counter: KeyCounter, kind: int, least: int, id_type: pa.DataType) -> pa.RecordBatch:
+            keys, counts = counter.take()
+            keys, counts = keys[counts >= least], counts[counts >= least]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.nulls(len(keys), id_type), pa.array(counts), pa.array(keys.view(np.int64)), pa.array(np.zeros(len(keys), np.int64))], names=names)
 
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            keys, bounds = shingle_sets(*byte_view(batch.column(1)), n)
-            seen.add(keys)
-            d1, d2 = _digests(keys, bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), batch.column(0), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2)], names=names)
-            if seen.full:
-                yield frequent(id_type)
+            data, offs = byte_view(batch.column(1))
+            for i, j in slices(offs):
+                keys, bounds = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
+                seen.add(keys)
+                picked = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False)[i:j])
+                some.add(np.concatenate([keys[:0], *(keys[bounds[k] : bounds[k + 1]] for k in picked)]))
+                d1, d2 = _digests(keys, bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int32)), batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2)], names=names)
+                if seen.full:
+                    yield counts_of(seen, 1, 2, id_type)
+                if some.full:
+                    yield counts_of(some, 2, 1, id_type)
         if id_type is not None:
-            yield frequent(id_type)
+            yield counts_of(seen, 1, 2, id_type)
+            yield counts_of(some, 2, 1, id_type)
+
+    sampled = F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0
+    return rows.select("id", "text", sampled.alias("sampled")).mapInArrow(run, f"kind int, id {rows.schema['id'].dataType.simpleString()}, n long, d1 long, d2 long")
+
+
+def least_matches(n):
+    """The smallest l of a set of n shingles; grows with n, so a partner's l is bounded by one's own size."""
+    return 1 + n // 25
 
-    return rows.mapInArrow(run, f"kind int, id {rows.schema['id'].dataType.simpleString()}, n long, d1 long, d2 long")
 
+def _fewest(n: str, percent: int):
+    """A bound on the shingles that a document of n shares with any linked one, among their prefixes."""
+    return F.floor(F.floor(F.col(n) * percent / 100) / 25) + 1
 
-def prefixes(keys: np.ndarray, bounds: np.ndarray, hot: HashedArray, often: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each set its prefix: shingles, their rows, whether each is hot, and each row's l."""
+
+def prefixes(keys: np.ndarray, bounds: np.ndarray, hot: HashedArray, often: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each set its prefix: shingles, rows, estimated frequencies and places of them, and each row's l."""
     sizes = np.diff(bounds)
     row = np.repeat(np.arange(len(sizes)), sizes)
     at = hot.find(keys)
-    known = at >= 0
-    df = np.where(known, often[at], 0) if len(often) else np.zeros(len(keys), np.int64)
+    df = np.where(at >= 0, often[at], 0) if len(often) else np.zeros(len(keys), np.int64)
     order = np.lexsort((keys, df, row))  # keys are hashes: no order of their own
-    keys, df, known = keys[order], df[order], known[order]
+    keys, df = keys[order], df[order]
     need = (percent * sizes + 99) // 100
-    met = np.concatenate([[0], np.cumsum(df)])
-    best, cost = np.ones(len(sizes), np.int64), np.full(len(sizes), np.inf)
-    for k in range(1, LONGEST + 1):
-        end = bounds[:-1] + np.minimum(sizes - need + k, sizes)
+    met = np.concatenate([[0], np.cumsum(np.where(df > 0, df, UNKNOWN))])
+    base = least_matches(sizes)
+    best, cost = base.copy(), np.full(len(sizes), np.inf)
+    for k in STEPS:
+        matches = np.minimum(base * k, np.maximum(need, base))
+        end = bounds[:-1] + np.minimum(sizes - need + matches, sizes)
         f = met[end] - met[bounds[:-1]]
-        now = MEET * f + VERIFY * sizes * f / k
-        better = (now < cost) & (k <= np.maximum(need, 1))
-        best, cost = np.where(better, k, best), np.where(better, now, cost)
+        now = ROW * (end - bounds[:-1]) + MEET * f + VERIFY * sizes * f / matches
+        best, cost = np.where(now < cost, matches, best), np.minimum(now, cost)
     length = np.where(sizes > 0, np.minimum(sizes - need + best, sizes), 0)
-    taken = (np.arange(len(keys)) - bounds[:-1][row]) < length[row]
-    return keys[taken], row[taken], known[taken], best
+    place = np.arange(len(keys)) - bounds[:-1][row]
+    taken = place < length[row]
+    return keys[taken], row[taken], df[taken], place[taken], best
+
+
+def _slot(column: str = "id"):
+    return F.pmod(F.xxhash64(column), F.lit(BITS)).cast("int")
+
+
+def _bitmap(ids: DataFrame):
+    """A broadcast bitmap, of fixed size, of the slots that the only column's ids have."""
+    rows = ids.select(_slot(ids.columns[0]).alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, s & 31))").alias("b")).collect()
+    out = np.zeros(BITS >> 5, np.int64)
+    for r in rows:  # BITS / 32 rows at most
+        out[r[0]] = r[1]
+    return ids.sparkSession.sparkContext.broadcast(out)
 
 
-def _prefix_rows(rows: DataFrame, shared, n: int, percent: int) -> DataFrame:
+def _marked(batch: pa.RecordBatch, bitmap, slot: int) -> pa.RecordBatch:
+    """The rows whose slot is in the bitmap: all that were put in, and a few others."""
+    s = batch.column(slot).to_numpy(zero_copy_only=False)
+    return batch.take(pa.array(np.flatnonzero((bitmap.value[s >> 5] >> (s & 31)) & 1)))
+
+
+def _prefix_rows(rows: DataFrame, shared, firsts, n: int, percent: int) -> DataFrame:
+    """The prefix of each set: rows of texts that only copy another's set are left out as far as the bitmap tells."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_keys, hot_n = shared.value
         hot = HashedArray(hot_keys)
         often = hot_n[hot.order]
         done: set[int] = set()  # equal sets of one task send their prefix once
         for batch in batches:
+            batch = _marked(batch, firsts, 2)
             data, offs = byte_view(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j in slices(offs, 1 << 22):
+            for i, j in slices(offs):
                 keys, bounds = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
                 d1, _ = _digests(keys, bounds)
                 fresh = np.ones(j - i, bool)
@@ -152,34 +201,38 @@ def _prefix_rows(rows: DataFrame, shared, n: int, percent: int) -> DataFrame:
                 if len(done) > 500_000:
                     done.clear()
                 sizes = np.diff(bounds)
-                token, row, known, need = prefixes(keys, bounds, hot, often, percent)
+                token, row, df, place, need = prefixes(keys, bounds, hot, often, percent)
                 keep = fresh[row]
-                token, row, known = token[keep], row[keep], known[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ids[i:j][row]), pa.array(sizes[row].astype(np.int32)), pa.array(need[row].astype(np.int8)), pa.array(known)], names=["token", "id", "n", "need", "hot"])
+                token, row, df, place = token[keep], row[keep], df[keep], place[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ids[i:j][row]), pa.array(sizes[row].astype(np.int32)), pa.array(need[row].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(df >= HEAVY)], names=["token", "id", "n", "need", "place", "heavy"])
 
-    return rows.mapInArrow(run, "token long, id long, n int, need tinyint, hot boolean")
+    return rows.select("id", "text", _slot().alias("slot")).mapInArrow(run, "token long, id long, n int, need int, place int, heavy boolean")
 
 
 def _sets_of(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """id and set of the wanted ids (and a few others): a bitmap of fixed size spares the others' shingling."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(BITS)).cast("int")
-    words64 = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, s & 31))").alias("b")).collect()
-    bitmap = np.zeros(BITS >> 5, np.int64)
-    for r in words64:  # BITS / 32 rows at most
-        bitmap[r[0]] = r[1]
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+    """id and set of the wanted ids, and of a few others."""
+    bitmap = _bitmap(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = batch.column(2).to_numpy(zero_copy_only=False)
-            own = np.flatnonzero((shared.value[s >> 5] >> (s & 31)) & 1)
-            part = batch.take(pa.array(own))
+            part = _marked(batch, bitmap, 2)
             data, offs = byte_view(part.column(1))
-            for i, j in slices(offs, 1 << 22):
+            for i, j in slices(offs):
                 keys, bounds = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(keys.view(np.int64)))], names=["id", "items"])
 
-    return rows.select("id", "text", slot.alias("slot")).mapInArrow(run, "id long, items array<long>")
+    return rows.select("id", "text", _slot().alias("slot")).mapInArrow(run, "id long, items array<long>")
+
+
+def _keep(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of wanted ids, and a few others; without a shuffle of all rows."""
+    bitmap = _bitmap(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _marked(batch, bitmap, batch.num_columns - 1).select(batch.schema.names[:-1])
+
+    return rows.withColumn("slot", _slot()).mapInArrow(run, rows.schema)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,36 +248,45 @@ def _long_enough(a: str, b: str, percent: int):
 
 
 def _links(lists: DataFrame, sets: DataFrame, ws: Workspace, percent: int) -> DataFrame:
-    """Verified links (u, v) that join all classes of the representatives in lists (token, id, n, need)."""
-    links, tried, of = None, None, lists.withColumn("c", F.col("id"))
-    for step in range(ROUNDS + 1):
+    """Verified links (u, v) that join all classes of the documents in lists."""
+    # first the leader that each list already names; a document tries the one that it shares most with
+    met = ws.write(lists.filter(F.col("id") != F.col("lead")).groupBy("id", "lead", "n", "lead_n").agg(F.count("*").alias("shared")), "met")
+    pairs = met.filter(_long_enough("n", "lead_n", percent) & (F.col("shared") >= _fewest("n", percent))).groupBy("id").agg(F.max_by("lead", F.struct("shared", "lead")).alias("v"))
+    got = ws.write(_verified(pairs.select(F.col("id").alias("u"), "v"), sets, percent), "verified-0")
+    tried, links = got.select("u", "v"), got.filter("linked").select("u", "v")
+    found = ws.write(components(links, ws, "round-0"), "classes-0")
+    # a list whose documents are in one class has no more to tell
+    of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_class"))
+    split = met.select("id", "lead").join(of("id"), "id", "left").join(of("lead"), "lead", "left").filter(F.coalesce("id_class", "id") != F.coalesce("lead_class", "lead")).select("id", "lead")
+    left = lists.join(split, ["id", "lead"], "left_semi").select("token").union(lists.filter("heavy").select("token")).distinct()
+    lists = ws.write(lists.join(left, "token", "left_semi").select("token", "id", "n", "need", "place"), "lists-left")
+    for step in range(1, ROUNDS + 1):
+        rows = lists.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
         if step < ROUNDS:
-            # one leader for each shingle, another each time; a document tries the one that it shares most with
-            score = F.struct(F.when(F.lit(step == 0), F.col("id")).otherwise(F.xxhash64("id", F.lit(step))), "id", "n", "c")
-            led = of.groupBy("token").agg(F.min(score).alias("lead"))
-            met = of.join(led, "token").select("id", "n", "c", F.col("lead.id").alias("v"), F.col("lead.n").alias("m"), F.col("lead.c").alias("d"))
-            met = met.filter((F.col("c") != F.col("d")) & _long_enough("n", "m", percent)).groupBy("id", "v").agg(F.count("*").alias("shared"))
-            if tried is not None:
-                met = met.join(tried.select(F.col("u").alias("id"), "v").union(tried.select(F.col("v").alias("id"), F.col("u").alias("v"))), ["id", "v"], "left_anti")
-            pairs = met.groupBy("id").agg(F.max_by("v", F.struct("shared", "v")).alias("v")).select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
+            # another leader for each shingle
+            led = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)), "id", "n", "c")).alias("lead"))
+            near = rows.join(led, "token").select("id", "n", "c", F.col("lead.id").alias("v"), F.col("lead.n").alias("m"), F.col("lead.c").alias("d"))
+            near = near.filter((F.col("c") != F.col("d")) & _long_enough("n", "m", percent)).groupBy("id", "n", "v").agg(F.count("*").alias("shared"))
+            near = near.filter(F.col("shared") >= _fewest("n", percent)).groupBy("id").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
+            pairs = near.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
         else:
-            mixed = of.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
-            left = of.join(mixed, "token")
-            a, b = left.alias("a"), left.alias("b")
-            met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.c") != F.col("b.c")) & _long_enough("a.n", "b.n", percent))
-            pairs = met.groupBy(F.col("a.id").alias("u"), F.col("b.id").alias("v")).agg(F.count("*").alias("shared"), F.first(F.least("a.need", "b.need")).alias("need")).filter("shared >= need").select("u", "v")
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        got = ws.write(_verified(pairs, sets, percent), f"verified-{step}")
-        tried = got.select("u", "v") if tried is None else tried.union(got.select("u", "v"))
-        new = got.filter("linked").select("u", "v")
-        links = new if links is None else links.union(new)
+            # every pair of two classes that shares enough
+            mixed = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
+            rows = rows.join(mixed, "token")
+            a, b = rows.alias("a"), rows.alias("b")
+            # sizes a and b need an overlap of o, so l shingles are shared among the first a - o + l and b - o + l
+            need = F.least("a.need", "b.need")
+            slack = need - F.ceil(percent * (F.col("a.n") + F.col("b.n")) / (100 + percent))
+            early = (F.col("a.place") < F.col("a.n") + slack) & (F.col("b.place") < F.col("b.n") + slack)
+            near = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.c") != F.col("b.c")) & _long_enough("a.n", "b.n", percent) & early)
+            pairs = near.groupBy(F.col("a.id").alias("u"), F.col("b.id").alias("v")).agg(F.count("*").alias("shared"), F.first(F.least("a.need", "b.need")).alias("need")).filter("shared >= need").select("u", "v")
+        before = tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        pairs = ws.write(pairs.join(before, ["u", "v"], "left_anti"), f"pairs-{step}")
+        ids = pairs.select("u").union(pairs.select("v"))
+        got = ws.write(_verified(pairs, _keep(sets, ids.select(F.col("u").alias("id"))), percent), f"verified-{step}")
+        tried, links = tried.union(got.select("u", "v")), links.union(got.filter("linked").select("u", "v"))
         if step < ROUNDS:
             found = ws.write(components(links, ws, f"round-{step}"), f"classes-{step}")
-            of = lists.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-            if not step:  # a shingle whose documents are in one class has no more to tell
-                one = of.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
-                lists = ws.write(of.drop("c").join(one, "token", "left_semi"), "lists-left")
-                of = lists.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     return links
 
 
@@ -245,18 +307,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         rows = rows.select("id", "text")
     sets = found.filter("n > 0")
     of_set = ws.write(sets.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "sets")
-    top = first.filter("kind = 1").groupBy("d1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d1").limit(HOT).toArrow()
+    told = first.filter("kind > 0").groupBy("d1", "kind").agg(F.sum("n").alias("n")).filter("n > 1").withColumn("n", F.when(F.col("kind") == 1, F.col("n")).otherwise(F.col("n") * SAMPLE))
+    top = told.groupBy("d1").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "d1").limit(HOT).toArrow()
     hot = tuple(top.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("d1", "n"))
     shared = spark.sparkContext.broadcast((hot[0].view(np.uint64), hot[1]))
-    # hot shingles are known to be shared: they are dealt out, and kept without being counted
-    tokens = _prefix_rows(rows, shared, n, percent).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(64))).otherwise(0).cast("int"))
-    met = tokens.withColumn("times", F.count("*").over(Window.partitionBy("token", "salt"))).filter(F.col("hot") | (F.col("times") > 1)).select("token", "id", "n", "need")
-    met = ws.write(met, "met")
-    rep = found.filter("n > 0").join(of_set, ["d1", "d2", "n"]).select("id", "rep").distinct()
-    lists = met.join(rep, "id").groupBy("token", F.col("rep").alias("id")).agg(F.first("n").alias("n"), F.first("need").alias("need"))
-    lists = ws.write(lists, "lists")
+    firsts = _bitmap(of_set.select("rep"))
+    tokens = _prefix_rows(rows, shared, firsts, n, percent).withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    own = Window.partitionBy("token", "salt")
+    lists = tokens.withColumns({"times": F.count("*").over(own), "lead": F.min(F.struct("id", "n")).over(own)}).filter(F.col("heavy") | (F.col("times") > 1))
+    shared_rows = ws.write(lists.select("token", "id", "n", "need", "place", "heavy", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "shared")
+    enough = shared_rows.groupBy("id", "n").agg(F.count("*").alias("t")).filter(F.col("t") >= _fewest("n", percent))
+    lists = ws.write(_keep(shared_rows, enough.select("id")), "lists")
+    ws.drop("shared")
     items = ws.write(_sets_of(rows, lists.select("id").distinct(), n), "items")
     links = _links(lists, items, ws, percent)
+    rep = sets.join(of_set, ["d1", "d2", "n"]).select("id", "rep").distinct()
     copies = rep.filter(F.col("id") != F.col("rep")).select(F.col("id").alias("u"), F.col("rep").alias("v"))
     linked = components(links.union(copies), ws, "final").withColumnRenamed("id", "member")
     out = found.join(linked, F.col("id") == F.col("member"), "left").select("id", "n", F.coalesce("component", "id").alias("component"))
