@@ -138,6 +138,9 @@ _q("scalar_corr_theta", "SELECT n_nationkey, (SELECT max(b.n_nationkey) FROM nat
 _q("exists_or", "SELECT c_custkey FROM customer WHERE c_acctbal < 0 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 _q("in_corr", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > c_acctbal)")
 
+_q("skip_level_corr", "SELECT c_custkey FROM customer w WHERE EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = w.c_custkey AND EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = w.c_nationkey AND s.s_suppkey < b.o_orderkey))")
+_q("agg_promoted", "SELECT n_regionkey, (SELECT sum(n_nationkey)) AS s, (SELECT count(*) + 1) AS n FROM nation GROUP BY 1", "SELECT n_regionkey, sum(n_nationkey)::BIGINT AS s, count(*) + 1 AS n FROM nation GROUP BY 1")
+
 # --- functions ----------------------------------------------------------------------------------
 _q("fn_text", "SELECT p_partkey, length(p_name) AS l, upper(p_name) AS u, lower(p_type) AS d, trim('  ' || p_name || ' ') AS t, ltrim(p_name, 'br') AS lt, replace(p_name, ' ', '_') AS r, instr(p_name, 'i') AS i, concat(p_name, NULL, p_size) AS c, concat_ws('-', p_brand, NULL, p_size) AS w FROM part", "SELECT p_partkey, length(p_name) AS l, upper(p_name) AS u, lower(p_type) AS d, p_name AS t, ltrim(p_name, 'br') AS lt, replace(p_name, ' ', '_') AS r, instr(p_name, 'i') AS i, p_name || p_size AS c, p_brand || '-' || p_size AS w FROM part")
 _q("fn_substr_edge", "SELECT substr('hello', 0, 2) AS a, substr('hello', -3, 2) AS b, substr('hello', 3, -2) AS c, substr('hello', 2) AS d, substr('hello', -9, 6) AS e", "SELECT 'h' AS a, 'll' AS b, 'he' AS c, 'ello' AS d, 'he' AS e")
