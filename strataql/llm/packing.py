@@ -135,7 +135,7 @@ class WordTokens:
     def _by_stems(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         stems, marks = [], np.full(len(chunks), -1, np.int32)
         for k, c in enumerate(chunks):
-            if c.isascii():
+            if c.isascii() and "<|" not in c:  # special tokens are told before lowering
                 if c[-1:] in self.marks and len(c) > 1 and c[-2].isalnum():
                     marks[k] = self.marks[c[-1]]
                     c = c[:-1]

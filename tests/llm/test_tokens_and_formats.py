@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strataql.llm import chat_format, packing, queries, sentencepiece_codec, warc
 
 TOKENIZER, PIECES = queries.tokenizer_path(queries.TOKENIZER), queries.tokenizer_path(queries.PIECES)
-ODD = ["", None, "  ", "The quick, brown FOX's jump!! 3.14", "a\x0bb\x0cc\x1cd\x85e\xa0f", "é é İI ΑΣ. ½ 你好🙂", "<|endoftext|>x <|startoftext|>", "word. word, word.. 'tis don't", "x" * 5000, "tok en " * 3000]
+ODD = ["", None, "  ", "The quick, brown FOX's jump!! 3.14", "a\x0bb\x0cc\x1cd\x85e\xa0f", "é é İI ΑΣ. ½ 你好🙂", "<|endoftext|>x <|startoftext|> <|ENDOFTEXT|>. a<|endoftext|>B.", "word. word, word.. 'tis don't", "x" * 5000, "tok en " * 3000]
 
 
 def test_tokens_equal_the_library(spark):
