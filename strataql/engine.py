@@ -6,14 +6,18 @@ plans a SELECT, and Catalyst runs it. ``translate`` shows the Spark SQL.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import PandasUDFType, pandas_udf, udtf
 
 from .functions import registry
+from .functions.arrow import batch_udf
 from .operators.recursive import Recursion
 from .plans.emit import Columns, Emitter
+from .plans.typed import E, as_value
 from .sql.lexer import statements
 from .sql.parser import parse
 
@@ -49,6 +53,37 @@ class Engine:
             self.register(name, self.spark.read.parquet(f"{folder}/{name}.parquet"))
         return self
 
+    # --- extensions
+
+    def function(self, name: str, fn: Callable, returns: str = "string", arity: int = 1) -> Engine:
+        """A scalar function of one row's values, run over Arrow batches; None comes as None."""
+        self.spark.udf.register(f"u_{name}", batch_udf(fn, returns, arity, strict=False))
+        registry.FUNCTIONS[name.lower()] = (arity, arity, lambda a: E(f"u_{name}({', '.join(as_value(x).sql for x in a)})", kind_of(returns)))
+        return self
+
+    def aggregate(self, name: str, fn: Callable[[list], Any], returns: str = "double") -> Engine:
+        """An aggregate of the list of a group's values; the group must fit a task's memory."""
+
+        def over(values: pd.Series) -> Any:
+            return fn(values.tolist())
+
+        self.spark.udf.register(f"u_{name}", pandas_udf(over, returns, PandasUDFType.GROUPED_AGG))
+        registry.AGGREGATES[name.lower()] = lambda a, distinct, order, where: E(f"u_{name}({as_value(a[0]).sql})", kind_of(returns))
+        return self
+
+    def table_function(self, name: str, cls: type, schema: str) -> Engine:
+        """A table function from a class with ``eval``; its arguments may name columns to its left."""
+        self.spark.udtf.register(f"u_{name}", udtf(cls, returnType=schema))
+        cols = [(c.split()[0], kind_of(c.split()[1])) for c in schema.split(", ")]
+        registry.TABLE_FUNCTIONS[name.lower()] = (lambda a: f"u_{name}({', '.join(as_value(x).sql for x in a)})", cols)
+        return self
+
+    def collation(self, name: str, key: Callable[[str], str]) -> Engine:
+        """A collation by a sort key: texts are equal, and ordered, as their keys are."""
+        self.spark.udf.register(f"u_key_{name}", batch_udf(key, "string", 1))
+        registry.COLLATIONS[name.upper()] = f"u_key_{name}"
+        return self
+
     def columns(self, name: str) -> Columns | None:
         got = self.tables.get(name.lower())
         if got is None and self.spark.catalog.tableExists(name):

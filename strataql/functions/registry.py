@@ -301,6 +301,8 @@ def great_circle(x1: str, y1: str, x2: str, y2: str, radius: str) -> E:
 
 
 FUNCTIONS: dict[str, tuple[int, int, Callable[[list[E]], E]]] = {}
+#: collations of users, by the UDF that makes their sort keys
+COLLATIONS: dict[str, str] = {}
 MANY = 1000
 
 

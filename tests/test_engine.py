@@ -87,3 +87,19 @@ def test_plans_push_down_and_prune(engine):
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
     top = engine.sql("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC LIMIT 3")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in top
+
+
+def test_extensions(engine):
+    class Letters:
+        def eval(self, text: str):
+            for i, c in enumerate(text or ""):
+                yield i, c
+
+    engine.function("twice", lambda x: None if x is None else x * 2, "bigint").function("glue", lambda a, b: f"{a}+{b}", "string", 2)
+    engine.aggregate("span", lambda values: float(max(values) - min(values)))
+    engine.table_function("letters", Letters, "place int, letter string")
+    engine.collation("backwards", lambda s: s[::-1])
+    assert one(engine, "SELECT twice(n_nationkey), glue('a', 'b') FROM nation WHERE n_nationkey = 4") == (8, "a+b")
+    assert one(engine, "SELECT span(n_nationkey) FROM nation") == (24.0,)
+    assert [tuple(r) for r in engine.sql("SELECT x, letter FROM (SELECT 'ab' AS x) AS t, letters(t.x) AS l ORDER BY l.place").collect()] == [("ab", "a"), ("ab", "b")]
+    assert [r[0] for r in engine.sql("SELECT column1 FROM (VALUES ('ab'), ('ca'), ('bb')) ORDER BY column1 COLLATE backwards").collect()] == ["ca", "ab", "bb"]
