@@ -10,7 +10,7 @@ their first n - t + l. Each document picks its own l from multiples of least_mat
 prefix meets more candidates, of which fewer share l shingles, and the cheaper total by estimated
 frequencies wins. A pair must share the smaller l of its two. A shingle that one prefix alone holds
 is dropped after a single shuffle, and so is a document that shares too few with all others together.
-Where pairs are made, their two sizes shorten both prefixes further.
+Where pairs are made, their two sizes shorten both prefixes further (the overlap needed by both).
 
 What is left is verified on whole sets. As classes are wanted, pairs of large groups aren't all
 made: first rounds verify each document with one leader that shares most of its prefix, and the last
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .textbatch import HashedArray, KeyCounter, U, byte_view, mix, slices, windows, words
-from .workspace import Workspace
+from .workspace import Workspace, trim
 
 N = 5
 PERCENT = 75
@@ -49,7 +49,7 @@ STEPS = (1, 2, 3, 4)
 #: other documents that a shingle of unknown frequency is taken to have
 ROW, MEET, VERIFY, UNKNOWN = 1.0, 1.0, 0.05, 0.2
 BITS = 1 << 23
-ROUNDS = 2
+ROUNDS = 1
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -166,10 +166,10 @@ def _slot(column: str = "id"):
 
 def _bitmap(ids: DataFrame):
     """A broadcast bitmap, of fixed size, of the slots that the only column's ids have."""
-    rows = ids.select(_slot(ids.columns[0]).alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, s & 31))").alias("b")).collect()
-    out = np.zeros(BITS >> 5, np.int64)
-    for r in rows:  # BITS / 32 rows at most
-        out[r[0]] = r[1]
+    words = ids.select(_slot(ids.columns[0]).alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, s & 31))").alias("b")).toArrow()
+    out = np.zeros(BITS >> 5, np.int64)  # BITS / 32 rows at most
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    trim()
     return ids.sparkSession.sparkContext.broadcast(out)
 
 
@@ -274,12 +274,16 @@ def _links(lists: DataFrame, sets: DataFrame, ws: Workspace, percent: int) -> Da
             mixed = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
             rows = rows.join(mixed, "token")
             a, b = rows.alias("a"), rows.alias("b")
-            # sizes a and b need an overlap of o, so l shingles are shared among the first a - o + l and b - o + l
-            need = F.least("a.need", "b.need")
-            slack = need - F.ceil(percent * (F.col("a.n") + F.col("b.n")) / (100 + percent))
-            early = (F.col("a.place") < F.col("a.n") + slack) & (F.col("b.place") < F.col("b.n") + slack)
-            near = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.c") != F.col("b.c")) & _long_enough("a.n", "b.n", percent) & early)
-            pairs = near.groupBy(F.col("a.id").alias("u"), F.col("b.id").alias("v")).agg(F.count("*").alias("shared"), F.first(F.least("a.need", "b.need")).alias("need")).filter("shared >= need").select("u", "v")
+            # Sizes a and b need an overlap of o, so l shingles are shared among the first a - o + l and
+            # b - o + l. Pairs are seeded with l = 1, the shortest prefixes, then must have their own l.
+            need, overlap = F.least("a.need", "b.need"), F.ceil(percent * (F.col("a.n") + F.col("b.n")) / (100 + percent))
+            seeds = (F.col("a.place") < F.col("a.n") - overlap + 1) & (F.col("b.place") < F.col("b.n") - overlap + 1)
+            near = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.c") != F.col("b.c")) & _long_enough("a.n", "b.n", percent) & seeds)
+            near = near.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), need.alias("need"), (F.col("a.n") - overlap + need).alias("x"), (F.col("b.n") - overlap + need).alias("y")).distinct()
+            held = lists.groupBy("id").agg(F.collect_list(F.struct("place", "token")).alias("p"))
+            near = near.join(held.withColumnsRenamed({"id": "u", "p": "p"}), "u").join(held.withColumnsRenamed({"id": "v", "p": "q"}), "v")
+            early = lambda p, n: F.transform(F.filter(p, lambda t: t["place"] < F.col(n)), lambda t: t["token"])
+            pairs = near.filter(F.size(F.array_intersect(early("p", "x"), early("q", "y"))) >= F.col("need")).select("u", "v")
         before = tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         pairs = ws.write(pairs.join(before, ["u", "v"], "left_anti"), f"pairs-{step}")
         ids = pairs.select("u").union(pairs.select("v"))
