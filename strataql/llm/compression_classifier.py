@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .textbatch import byte_view
-from .workspace import small_batches
+from .workspace import small_batches, trim
 
 MAX_ROWS = 3000
 MAX_BYTES = 32_768
@@ -99,6 +99,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id
     y = np.array([y for _, y in rest])
     w = np.where(y == 1, shares[1] / total / (y == 1).sum(), shares[0] / total / (y == 0).sum()) * len(y)
     model.slope, model.bias = _logistic(x, y, w)
+    del got, rows, by, rest
+    trim()
     return model
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import ngram_model as M
 from .textbatch import HashedArray, KeyCounter, byte_view, grams, slices, words
-from .workspace import Workspace
+from .workspace import Workspace, trim
 
 ORDER = 5
 MAX_ENTRIES = 3_000_000
@@ -119,6 +119,8 @@ def lm_score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
         schema = f"uid long, id {id_type}, held_out boolean, tokens long, known long, base double, value double, keys array<long>, tf array<int>, shard int"
         part = ws.write(rows.mapInArrow(score, schema), f"scored-{number}")
         model.unpersist()
+        del shard, model, score
+        trim()
         # Later shards add to the first one's rows.
         scored = part if scored is None else scored.join(part.select("uid", F.col("value").alias("more")), "uid").withColumn("value", F.col("value") + F.col("more")).drop("more")
     out = scored.select("uid", "id", "held_out", "tokens", "known", "base", "value")

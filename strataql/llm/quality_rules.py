@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import ngram_model as M
 from .textbatch import SPACE, by_row, byte_view, lines_with_words, slices, windows, words
-from .workspace import Workspace
+from .workspace import Workspace, trim
 
 ORDER = 3
 MAX_ENTRIES = 3_000_000
@@ -89,6 +89,8 @@ def measure(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: st
 
         part = ws.write(rows.mapInArrow(score, schema), f"measured-{number}")
         model.unpersist()
+        del shard, model, score
+        trim()
         if out is None:
             out = part
         else:  # equal rows have equal sums, so one of them is enough

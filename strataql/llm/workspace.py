@@ -7,9 +7,13 @@ most the tasks that were running, never what was written.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
@@ -24,6 +28,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCHES, str(BATCH_BYTES))
 
 
+def trim() -> None:
+    """Gives the driver's freed memory back: a model's arrays are large and gone after it is sent."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not root:
