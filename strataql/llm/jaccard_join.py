@@ -16,10 +16,15 @@ What is left is verified on whole sets. As classes are wanted, pairs of large gr
 made: first rounds verify each document with one leader that shares most of its prefix, and the last
 round makes every pair that still lies in two classes, so no link between classes is lost.
 
+``linked`` also counts each document's links. Links lie within classes, so all pairs of a class's
+different sets are verified, a set once for all its copies, which count by their number. Sets whose
+sizes allow a link are dealt out to blocks, and a pair of blocks is one multiplication of matrices;
+pairs are never rows.
+
 Defined cases: a text without words, or null, has an empty set and is a class alone; fewer than N
 words are one shingle; rows of one id with different texts, or without id, are documents each, and
-a class is named by its smallest id; repeated rows are returned each; an empty table gives no rows;
-extra columns are ignored.
+a class is named by its smallest id; repeated rows are returned each, but are one document among the
+links; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,6 +55,8 @@ STEPS = (1, 2, 3, 4)
 ROW, MEET, VERIFY, UNKNOWN = 1.0, 1.0, 0.05, 0.2
 BITS = 1 << 23
 ROUNDS = 1
+#: a block's shingles and sets, on average, where links are counted; CELLS of a matrix at once
+BLOCK_SHINGLES, BLOCK_SETS, CELLS = 400_000, 1024, 1 << 21
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -294,8 +301,100 @@ def _links(lists: DataFrame, sets: DataFrame, ws: Workspace, percent: int) -> Da
     return links
 
 
+def pair_counts(keys: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray, weight: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Of each set the weight of other sets that link to it, over all pairs of a left and a right one.
+
+    Where left and right are the same sets, each pair counts once for either end.
+    """
+    sizes, k = np.diff(bounds), len(bounds) - 1
+    _, column, times = np.unique(keys, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(k), sizes)
+    shared = times[column] > 1  # others meet nowhere
+    column, row = column[shared], row[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    column = np.cumsum(np.concatenate([[False], column[1:] != column[:-1]])) if len(column) else column
+    both = np.zeros((len(left), len(right)))
+    columns = int(column[-1]) + 1 if len(column) else 1
+    width = min(columns, max(1, CELLS // k))
+    ends = np.searchsorted(column, np.arange(0, columns + width, width))
+    for step, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        cells = np.zeros((k, width), np.float32)
+        cells[row[i:j], column[i:j] - step * width] = 1
+        both += cells[left] @ cells[right].T
+    a, b = sizes[left][:, None], sizes[right][None, :]
+    link = (100 * both >= percent * (a + b - both)) & (left[:, None] != right[None, :])
+    out = np.zeros(k, np.int64)
+    out[left] += link @ weight[right]
+    if not np.array_equal(left, right):
+        out[right] += link.T @ weight[left]
+    return out
+
+
+def _tally(members: DataFrame, items: DataFrame, ws: Workspace, percent: int) -> DataFrame:
+    """rep and n: the weight of the different sets that link to each member (rep, id, n, weight, component)."""
+    # sizes of a link lie in one band or in two that follow each other
+    band = F.floor(F.log(F.col("n")) / (float(np.log(max(100 / percent, 1.01))) * (1 + 1e-9)))
+    members = members.withColumn("band", band)
+    bands = members.groupBy("component", "band").agg(F.count("*").alias("sets"), F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_SETS)).alias("m"))
+    bands = ws.write(bands, "bands")
+    same = bands.filter("sets > 1").select("component", F.col("band").alias("x"), F.col("band").alias("y"), F.col("m").alias("y_m"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("i"))
+    same = same.select("component", "x", "i", "y", F.explode(F.sequence("i", F.col("y_m") - 1)).alias("j"))
+    a, b = bands.select("component", F.col("band").alias("x"), F.col("m").alias("x_m")), bands.select("component", F.col("band").alias("y"), F.col("m").alias("y_m"))
+    next_to = a.join(b, "component").filter(F.col("y") == F.col("x") + 1)
+    next_to = next_to.select("component", "x", "y", "y_m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("x_m") - 1)).alias("i"))
+    next_to = next_to.select("component", "x", "i", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("y_m") - 1)).alias("j"))
+    unit = ["component", "x", "i", "y", "j"]
+    units = same.union(next_to)
+    left = units.select(*unit, F.col("x").alias("band"), F.col("i").alias("slot"), F.lit(0).alias("side"))
+    right = units.filter("x != y or i != j").select(*unit, F.col("y").alias("band"), F.col("j").alias("slot"), F.lit(1).alias("side"))
+    dealt = members.join(bands.drop("sets"), ["component", "band"]).withColumn("slot", F.pmod(F.xxhash64("rep"), F.col("m"))).drop("m", "n")
+    placed = ws.write(dealt.join(left.union(right), ["component", "band", "slot"]).select(*unit, "side", "rep", "id", "weight"), "units")
+    whole = placed.join(_keep(items, placed.select("id").distinct()), "id").select(*unit, "side", "rep", "weight", "items")
+
+    def counts(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        lists = table.column("items").combine_chunks()
+        bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        keys = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        side, weight = (table.column(c).to_numpy() for c in ("side", "weight"))
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        x, i, y, j = (table.column(c)[0].as_py() for c in unit[1:])
+        got = pair_counts(keys, bounds, first, first if (x, i) == (y, j) else second, weight, percent)
+        return pa.RecordBatch.from_arrays([table.column("rep").combine_chunks(), pa.array(got)], names=["rep", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy() for c in range(len(unit))], 1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and tuple(key[i]) != last:
+                    yield counts(held)
+                    held = []
+                held.append(batch.slice(i, j - i))
+                last = tuple(key[i])
+        if held:
+            yield counts(held)
+
+    found = whole.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(run, "rep long, n long")
+    return ws.write(found.groupBy("rep").agg(F.sum("n").alias("n")), "tally")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
     """id, n_shingles and component_id of each row."""
+    return _join(docs, id_col, text_col, n, percent, False)
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """id, n_shingles, component_id and n_links of each row: how many other documents link to it."""
+    return _join(docs, id_col, text_col, n, percent, True)
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, count: bool) -> DataFrame:
     spark = docs.sparkSession
     ws = Workspace(spark, "jaccard_join")
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -327,13 +426,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     links = _links(lists, items, ws, percent)
     rep = sets.join(of_set, ["d1", "d2", "n"]).select("id", "rep").distinct()
     copies = rep.filter(F.col("id") != F.col("rep")).select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    linked = components(links.union(copies), ws, "final").withColumnRenamed("id", "member")
-    out = found.join(linked, F.col("id") == F.col("member"), "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    reached = components(links.union(copies), ws, "final").withColumnRenamed("id", "member")
+    out = found.join(reached, F.col("id") == F.col("member"), "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    counted = []
+    if count:
+        # rows of one id and set are one document
+        docs_of = sets if names is None else sets.join(names.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"))
+        name = F.col("id" if names is None else "name")
+        weights = docs_of.groupBy("d1", "d2", "n").agg((F.count_distinct(name) + F.count_if(name.isNull())).alias("weight"))
+        weighed = ws.write(of_set.join(weights, ["d1", "d2", "n"]).select("d1", "d2", "n", "rep", "weight"), "weighed")
+        # a set's prefix may have come from a copy of its first document
+        sent = items.select("id").join(rep, "id").groupBy("rep").agg(F.min("id").alias("id"))
+        members = sent.join(weighed, "rep").join(reached, F.col("rep") == F.col("member")).select("rep", "id", "n", "weight", "component")
+        tally = _tally(ws.write(members, "members"), items, ws, percent).withColumnRenamed("n", "other")
+        links_of = weighed.join(tally, "rep", "left").select("d1", "d2", "n", (F.col("weight") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
+        links_of = sets.join(links_of, ["d1", "d2", "n"]).select("id", "n_links").distinct()
+        out = out.join(links_of, "id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
+        counted = ["n_links"]
     if names is not None:
         named = out.join(names, "id")
         least = named.groupBy("component").agg(F.min("name").alias("least"))
-        out = named.join(least, "component").select(F.col("name").alias("id"), "n", F.col("least").alias("component"))
-    return out.select(F.col("id").cast(id_type).alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component").cast(id_type).alias("component_id"))
+        out = named.join(least, "component").select(F.col("name").alias("id"), "n", F.col("least").alias("component"), *counted)
+    return out.select(F.col("id").cast(id_type).alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component").cast(id_type).alias("component_id"), *counted)
 
 
 def _ambiguous(found: DataFrame) -> bool:

@@ -79,6 +79,53 @@ def test_odd_rows(spark):
     assert found(jaccard_join.classes(spark.createDataFrame(same_id, "doc_id long, text string"))) == brute(same_id)
 
 
+def brute_links(rows):
+    """Each row's links to other documents; rows of one id and set are one document, those without id one each."""
+    documents = {(d if d is not None else ("row", i), frozenset(shingles(t))) for i, (d, t) in enumerate(rows)}
+    out = []
+    for i, (d, t) in enumerate(rows):
+        own = (d if d is not None else ("row", i), frozenset(shingles(t)))
+        links = sum(1 for x in documents if x != own and own[1] and 100 * len(own[1] & x[1]) >= 75 * len(own[1] | x[1]))
+        out.append((d, len(own[1]), links))
+    return sorted(out, key=repr)
+
+
+def links_found(df):
+    return sorted(((r.doc_id, r.n_shingles, r.n_links) for r in df.collect()), key=repr)
+
+
+def near_group(n=90, copies=7):
+    """A large group of near copies with distinct texts, of several sizes, some of them copied exactly."""
+    rng = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(n):
+        words = list(base[: 120 - int(rng.integers(0, 45))])
+        for _ in range(int(rng.integers(0, 4))):
+            words[int(rng.integers(0, len(words)))] = f"e{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    return rows + [(1000 + i, rows[i % 3][1]) for i in range(copies)]
+
+
+@pytest.mark.parametrize("blocks", [None, (300, 4)])
+def test_links_equal_brute_force(spark, monkeypatch, blocks):
+    if blocks:
+        monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", blocks[0])
+        monkeypatch.setattr(jaccard_join, "BLOCK_SETS", blocks[1])
+        monkeypatch.setattr(jaccard_join, "CELLS", 64)
+    rows = corpus(3, 80) + [(5000 + i, t) for i, t in near_group()] + [(9000, None), (9001, "one two"), (9002, "One  TWO"), (9002, "One  TWO")]
+    got = jaccard_join.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert links_found(got) == brute_links(rows)
+    assert found(got) == brute(rows)
+
+
+def test_links_of_ambiguous_ids(spark):
+    rows = [(1, "p q r s t u"), (1, "v w x y z"), (1, "v w x y z"), (2, "v w x y z"), (None, "p q r s t u"), (None, "p q r s t u"), (3, "alone here it is now"), (4, "")]
+    got = jaccard_join.linked(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert links_found(got) == brute_links(rows)
+    assert jaccard_join.linked(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "u long, v long").repartition(4)
     got = {r.id: r.component for r in components(chain, Workspace(spark, "t"), "c").collect()}
