@@ -1,14 +1,16 @@
 """WARC archives: a writer with revisit records, and a reader that salvages damaged files.
 
-Writing is native: a record is a string of one row, and the text sink puts rows into files (each a
-gzip member, or plain), so archives reach any store that Spark writes. Of equal payloads of
+A record is one row, and the text sink puts rows into files, so archives reach any store that Spark
+writes. A compressed record is a gzip member of its own, so that damage ends at the next record; the
+sink's separator of rows is then an empty member, which readers of gzip pass over. Of equal payloads of
 ``least_revisit`` bytes or more, the row with the smallest id is a response and the others refer
 to it; no other row is a revisit.
 
 Reading checks each gzip member and each record: version line, header lines, Content-Length, the
 blank lines after the block, and the payload digest. Where a check fails, the reader searches for
 the next gzip member or version line that passes, goes on there, and logs the bytes between as a
-quarantined gap. Records that came before a damaged place in a member are kept.
+quarantined gap. Records that came before a damaged place in a member are kept: what deflate gives
+up to the damage is taken byte by byte.
 
 Defined cases: a null payload is empty; a null id is never referred to and always a response; rows
 that repeat the smallest id are responses each; null URLs are left out of the record; line feeds
@@ -28,8 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .workspace import small_batches
+
 VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
+EMPTY_MEMBER = zlib.compress(b"", wbits=31)
 FILE_ROWS = 2000
 LEAST_REVISIT = 100
 ROW_SCHEMA = "file string, offset long, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, gap_bytes long, reason string"
@@ -61,8 +66,19 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
 
 def write(pages: DataFrame, path: str, compress: bool = True, file_rows: int = FILE_ROWS, **columns) -> None:
     """Archives of at most ``file_rows`` records in folder path."""
-    writer = records(pages, **columns).write.option("lineSep", "\n").option("maxRecordsPerFile", file_rows)
-    writer.option("compression", "gzip" if compress else "none").text(path)
+    rows, separator = records(pages, **columns), "\n"
+    if compress:
+        small_batches(pages.sparkSession)
+        rows, separator = rows.mapInArrow(_compressed, "value binary").select(F.col("value").cast("string")), EMPTY_MEMBER.decode("latin-1")
+    writer = rows.write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", file_rows)
+    writer.option("compression", "none").text(path)
+
+
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record, with its last line feed, as a gzip member."""
+    for batch in batches:
+        out = [zlib.compress(v.as_py().encode() + b"\n", wbits=31) for v in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
 
 # --- salvage ------------------------------------------------------------------------------------
@@ -156,13 +172,43 @@ def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
             out.append(inflater.decompress(part))
             place += len(part)
     except zlib.error as e:
-        # what came out before the damage is kept; the end is unknown
-        return b"".join(out), -1, f"gzip: {e}"
+        # what comes out before the damage is kept; the end is unknown
+        return b"".join(out) + _before_damage(data, at, place), -1, f"gzip: {e}"
     if not inflater.eof:
         return b"".join(out), -1, "gzip: the file ends inside a member"
     return b"".join(out), place - len(inflater.unused_data), ""
 
 
+def _before_damage(data: bytes, at: int, place: int) -> bytes:
+    """Content between a place in the member, up to which all is well, and the damage in the part that begins there.
+
+    A call of zlib that fails gives nothing, so the part is read in ever smaller steps, at last a byte
+    at a time for input and output. Only one byte can be missing: that whose code ends in the byte in
+    which the damage begins.
+    """
+    inflater, out = zlib.decompressobj(31), []
+    inflater.decompress(data[at:place])
+    for step in (1024, 32, 1):
+        while place < len(data):
+            before = inflater.copy()
+            try:
+                out.append(inflater.decompress(data[place : place + step]))
+            except zlib.error:
+                inflater = before
+                break
+            place += step
+    rest = data[place : place + 1]
+    try:
+        while part := inflater.decompress(rest, 1):
+            out.append(part)
+            rest = inflater.unconsumed_tail
+    except zlib.error:
+        pass
+    # a record's block is checked by length and digest; the line feed behind it tells nothing more
+    found = b"".join(out)
+    return found + b"\n" if found.endswith(b"\r\n\r") else found
+
+
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """Records and quarantined gaps of an archive, plain or of gzip members, or both in turn.
 
