@@ -66,6 +66,8 @@ _q("join_range", "SELECT s_suppkey, p_partkey FROM supplier JOIN part ON p_retai
 _q("join_multi_key", "SELECT count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber")
 _q("join_computed_key", "SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderkey < 500")
 _q("join_self", "SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey WHERE a.c_mktsegment = b.c_mktsegment AND a.c_custkey < 50")
+_q("join_computed_key_all", "SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1")
+_q("join_self_all", "SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey WHERE a.c_mktsegment = b.c_mktsegment")
 _q("join_chain4", "SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN orders ON o_custkey = c_custkey GROUP BY r_name")
 _q("join_star", "SELECT s_name, p_brand, sum(l_quantity) AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE p_size < 5 GROUP BY 1, 2")
 _q("join_nested_parens", "SELECT count(*) AS n FROM region LEFT JOIN (nation JOIN customer ON c_nationkey = n_nationkey) ON n_regionkey = r_regionkey")
