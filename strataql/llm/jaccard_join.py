@@ -3,18 +3,20 @@
 A document's set holds its distinct ``N``-word shingles; two documents link when their sets' Jaccard
 similarity is ``PERCENT`` hundredths or more, and a class is what links reach.
 
-Equal sets are classed by digest first. The others are sorted by estimated frequency, ties by hash:
-shingles seen twice or more in a task, or in a sample of one document in ``SAMPLE``, are counted;
-all others come first. With overlap t needed, two linked documents share at least l shingles among
-their first n - t + l. Each document picks its own l from multiples of least_matches(n): a longer
-prefix meets more candidates, of which fewer share l shingles, and the cheaper total by estimated
-frequencies wins. A pair must share the smaller l of its two. A shingle that one prefix alone holds
-is dropped after a single shuffle, and so is a document that shares too few with all others together.
-Where pairs are made, their two sizes shorten both prefixes further (the overlap needed by both).
+Equal sets are classed by digest first. The others are sorted by frequency, ties by hash: shingles
+are counted over all documents, and the ``HOT`` most frequent have their counts; all others come
+first. With overlap t needed, two linked documents share at least l shingles among their first
+n - t + l. Each document picks its own l from multiples of least_matches(n): a longer prefix meets
+more candidates, of which fewer share l shingles, and the cheaper total by frequencies wins. A pair
+must share the smaller l of its two. A shingle that one prefix alone holds is dropped after a single
+shuffle, and so is a document that shares too few with all others together. Where pairs are made,
+their two sizes shorten both prefixes further (the overlap needed by both), and the shingles that
+the two share there are counted, each pair's in one group.
 
 What is left is verified on whole sets. As classes are wanted, pairs of large groups aren't all
-made: first rounds verify each document with one leader that shares most of its prefix, and the last
-round makes every pair that still lies in two classes, so no link between classes is lost.
+made: each document is first verified with one leader that shares most of its prefix, and then every
+pair that still lies in two classes is made, so no link between classes is lost. The list of a
+shingle that many documents share is cut into blocks, and a pair of blocks is one group of a join.
 
 ``linked`` also counts each document's links. Links lie within classes, so all pairs of a class's
 different sets are verified, a set once for all its copies, which count by their number. Sets whose
@@ -46,15 +48,15 @@ PERCENT = 75
 HOT = 1 << 18
 #: an estimate from which a shingle's rows are dealt out over SALTS lists
 HEAVY, SALTS = 20_000, 64
-#: one document in SAMPLE has all its shingles counted for the order; it bears on cost alone
-SAMPLE = 16
 #: multiples of least_matches(n) that l is chosen from
 STEPS = (1, 2, 3, 4)
 #: costs of a prefix row, of meeting a candidate in its list and of verifying one shingle, and the
 #: other documents that a shingle of unknown frequency is taken to have
 ROW, MEET, VERIFY, UNKNOWN = 1.0, 1.0, 0.05, 0.2
-BITS = 1 << 23
-ROUNDS = 1
+#: bits of a bitmap of ids, by their number; beyond MOST_BITS / 4 ids a join takes its place
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 28
+#: documents in a block of a shingle's list where pairs are made
+LIST_ROWS = 2048
 #: a block's shingles and sets, on average, where links are counted; CELLS of a matrix at once
 BLOCK_SHINGLES, BLOCK_SETS, CELLS = 400_000, 1024, 1 << 21
 
@@ -99,38 +101,42 @@ def _digests(keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _first_pass(rows: DataFrame, n: int) -> DataFrame:
-    """kind 0: id, size and digest of each row's set; kind 1: shingles seen twice or more in a task, and how often; kind 2: those of sampled rows."""
+    """id, size and digest of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, some = KeyCounter(1_000_000), KeyCounter(500_000)
-        names = ["kind", "id", "n", "d1", "d2"]
-
-        def counts_of(counter: KeyCounter, kind: int, least: int, id_type: pa.DataType) -> pa.RecordBatch:
-            keys, counts = counter.take()
-            keys, counts = keys[counts >= least], counts[counts >= least]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.nulls(len(keys), id_type), pa.array(counts), pa.array(keys.view(np.int64)), pa.array(np.zeros(len(keys), np.int64))], names=names)
-
-        id_type = None
         for batch in batches:
-            id_type = batch.column(0).type
             data, offs = byte_view(batch.column(1))
             for i, j in slices(offs):
                 keys, bounds = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
-                seen.add(keys)
-                picked = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False)[i:j])
-                some.add(np.concatenate([keys[:0], *(keys[bounds[k] : bounds[k + 1]] for k in picked)]))
                 d1, d2 = _digests(keys, bounds)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int32)), batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2)], names=names)
-                if seen.full:
-                    yield counts_of(seen, 1, 2, id_type)
-                if some.full:
-                    yield counts_of(some, 2, 1, id_type)
-        if id_type is not None:
-            yield counts_of(seen, 1, 2, id_type)
-            yield counts_of(some, 2, 1, id_type)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2)], names=["id", "n", "d1", "d2"])
+
+    return rows.select("id", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, d1 long, d2 long")
+
+
+def _frequencies(rows: DataFrame, n: int) -> DataFrame:
+    """key and n of the ``HOT`` shingles that most rows have, counted over all rows; two rows at least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = KeyCounter(1_000_000)
+        empty = True
 
-    sampled = F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0
-    return rows.select("id", "text", sampled.alias("sampled")).mapInArrow(run, f"kind int, id {rows.schema['id'].dataType.simpleString()}, n long, d1 long, d2 long")
+        def taken() -> pa.RecordBatch:
+            keys, counts = held.take()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
+
+        for batch in batches:
+            empty = False
+            data, offs = byte_view(batch.column(0))
+            for i, j in slices(offs):
+                held.add(shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)[0])
+                if held.full:
+                    yield taken()
+        if not empty:
+            yield taken()
+
+    counts = rows.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return counts.filter("n > 1").orderBy(F.desc("n"), "key").limit(HOT)
 
 
 def least_matches(n):
@@ -167,27 +173,54 @@ def prefixes(keys: np.ndarray, bounds: np.ndarray, hot: HashedArray, often: np.n
     return keys[taken], row[taken], df[taken], place[taken], best
 
 
-def _slot(column: str = "id"):
-    return F.pmod(F.xxhash64(column), F.lit(BITS)).cast("int")
+def _slot(bits: int, column: str = "id"):
+    return F.pmod(F.xxhash64(column), F.lit(bits)).cast("int")
 
 
-def _bitmap(ids: DataFrame):
-    """A broadcast bitmap, of fixed size, of the slots that the only column's ids have."""
-    words = ids.select(_slot(ids.columns[0]).alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, s & 31))").alias("b")).toArrow()
-    out = np.zeros(BITS >> 5, np.int64)  # BITS / 32 rows at most
-    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+def _bits_for(ids: int) -> int:
+    """The size of a bitmap for so many ids: a power of two, or 0 where none of bounded size would help."""
+    return 0 if 4 * ids > MOST_BITS else max(LEAST_BITS, 1 << (4 * ids - 1).bit_length())
+
+
+def _bitmap(ids: DataFrame, bits: int):
+    """A broadcast bitmap of the slots that the only column's ids have."""
+    words = ids.select(_slot(bits, ids.columns[0]).alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, s & 31))").alias("b")).toArrow()
+    out = np.zeros(bits >> 5, np.uint32)  # bits / 32 rows at most
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
+    del words
     trim()
     return ids.sparkSession.sparkContext.broadcast(out)
 
 
+def _picked(rows: DataFrame, wanted: DataFrame, bits: int):
+    """Rows of wanted ids, and a few others: what to read, and what to do with its batches.
+
+    A bitmap spares the shuffle of all rows; where it would be too large, a join does it.
+    """
+    if not bits:
+        return rows.join(wanted.select(F.col(wanted.columns[0]).alias("id")).distinct(), "id", "left_semi").select(rows.columns), lambda batch: batch
+    bitmap = _bitmap(wanted, bits)
+
+    def pick(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return _marked(batch, bitmap, batch.num_columns - 1).select(batch.schema.names[:-1])
+
+    return rows.withColumn("slot", _slot(bits)), pick
+
+
+def _near(rows: DataFrame, wanted: DataFrame, bits: int) -> DataFrame:
+    read, pick = _picked(rows, wanted, bits)
+    return read.mapInArrow(lambda batches: (pick(batch) for batch in batches), rows.schema) if bits else read
+
+
 def _marked(batch: pa.RecordBatch, bitmap, slot: int) -> pa.RecordBatch:
     """The rows whose slot is in the bitmap: all that were put in, and a few others."""
     s = batch.column(slot).to_numpy(zero_copy_only=False)
-    return batch.take(pa.array(np.flatnonzero((bitmap.value[s >> 5] >> (s & 31)) & 1)))
+    return batch.take(pa.array(np.flatnonzero((bitmap.value[s >> 5] >> (s & 31).astype(np.uint32)) & 1)))
 
 
-def _prefix_rows(rows: DataFrame, shared, firsts, n: int, percent: int) -> DataFrame:
-    """The prefix of each set: rows of texts that only copy another's set are left out as far as the bitmap tells."""
+def _prefix_rows(rows: DataFrame, firsts: DataFrame, shared, n: int, percent: int, bits: int) -> DataFrame:
+    """The prefix of the set of each row of firsts, and of some that copy another's."""
+    read, pick = _picked(rows.select("id", "text"), firsts, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_keys, hot_n = shared.value
@@ -195,7 +228,7 @@ def _prefix_rows(rows: DataFrame, shared, firsts, n: int, percent: int) -> DataF
         often = hot_n[hot.order]
         done: set[int] = set()  # equal sets of one task send their prefix once
         for batch in batches:
-            batch = _marked(batch, firsts, 2)
+            batch = pick(batch)
             data, offs = byte_view(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in slices(offs):
@@ -213,33 +246,22 @@ def _prefix_rows(rows: DataFrame, shared, firsts, n: int, percent: int) -> DataF
                 token, row, df, place = token[keep], row[keep], df[keep], place[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(ids[i:j][row]), pa.array(sizes[row].astype(np.int32)), pa.array(need[row].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(df >= HEAVY)], names=["token", "id", "n", "need", "place", "heavy"])
 
-    return rows.select("id", "text", _slot().alias("slot")).mapInArrow(run, "token long, id long, n int, need int, place int, heavy boolean")
+    return read.mapInArrow(run, "token long, id long, n int, need int, place int, heavy boolean")
 
 
-def _sets_of(rows: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+def _sets_of(rows: DataFrame, wanted: DataFrame, n: int, bits: int) -> DataFrame:
     """id and set of the wanted ids, and of a few others."""
-    bitmap = _bitmap(wanted)
+    read, pick = _picked(rows.select("id", "text"), wanted, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = _marked(batch, bitmap, 2)
+            part = pick(batch)
             data, offs = byte_view(part.column(1))
             for i, j in slices(offs):
                 keys, bounds = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(keys.view(np.int64)))], names=["id", "items"])
 
-    return rows.select("id", "text", _slot().alias("slot")).mapInArrow(run, "id long, items array<long>")
-
-
-def _keep(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of wanted ids, and a few others; without a shuffle of all rows."""
-    bitmap = _bitmap(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield _marked(batch, bitmap, batch.num_columns - 1).select(batch.schema.names[:-1])
-
-    return rows.withColumn("slot", _slot()).mapInArrow(run, rows.schema)
+    return read.mapInArrow(run, "id long, items array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -254,7 +276,7 @@ def _long_enough(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _links(lists: DataFrame, sets: DataFrame, ws: Workspace, percent: int) -> DataFrame:
+def _links(lists: DataFrame, sets: DataFrame, ws: Workspace, percent: int, bits: int) -> DataFrame:
     """Verified links (u, v) that join all classes of the documents in lists."""
     # first the leader that each list already names; a document tries the one that it shares most with
     met = ws.write(lists.filter(F.col("id") != F.col("lead")).groupBy("id", "lead", "n", "lead_n").agg(F.count("*").alias("shared")), "met")
@@ -266,39 +288,27 @@ def _links(lists: DataFrame, sets: DataFrame, ws: Workspace, percent: int) -> Da
     of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_class"))
     split = met.select("id", "lead").join(of("id"), "id", "left").join(of("lead"), "lead", "left").filter(F.coalesce("id_class", "id") != F.coalesce("lead_class", "lead")).select("id", "lead")
     left = lists.join(split, ["id", "lead"], "left_semi").select("token").union(lists.filter("heavy").select("token")).distinct()
-    lists = ws.write(lists.join(left, "token", "left_semi").select("token", "id", "n", "need", "place"), "lists-left")
-    for step in range(1, ROUNDS + 1):
-        rows = lists.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        if step < ROUNDS:
-            # another leader for each shingle
-            led = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)), "id", "n", "c")).alias("lead"))
-            near = rows.join(led, "token").select("id", "n", "c", F.col("lead.id").alias("v"), F.col("lead.n").alias("m"), F.col("lead.c").alias("d"))
-            near = near.filter((F.col("c") != F.col("d")) & _long_enough("n", "m", percent)).groupBy("id", "n", "v").agg(F.count("*").alias("shared"))
-            near = near.filter(F.col("shared") >= _fewest("n", percent)).groupBy("id").agg(F.max_by("v", F.struct("shared", "v")).alias("v"))
-            pairs = near.select(F.greatest("id", "v").alias("u"), F.least("id", "v").alias("v")).distinct()
-        else:
-            # every pair of two classes that shares enough
-            mixed = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high").select("token")
-            rows = rows.join(mixed, "token")
-            a, b = rows.alias("a"), rows.alias("b")
-            # Sizes a and b need an overlap of o, so l shingles are shared among the first a - o + l and
-            # b - o + l. Pairs are seeded with l = 1, the shortest prefixes, then must have their own l.
-            need, overlap = F.least("a.need", "b.need"), F.ceil(percent * (F.col("a.n") + F.col("b.n")) / (100 + percent))
-            seeds = (F.col("a.place") < F.col("a.n") - overlap + 1) & (F.col("b.place") < F.col("b.n") - overlap + 1)
-            near = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") > F.col("b.id")) & (F.col("a.c") != F.col("b.c")) & _long_enough("a.n", "b.n", percent) & seeds)
-            near = near.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), need.alias("need"), (F.col("a.n") - overlap + need).alias("x"), (F.col("b.n") - overlap + need).alias("y")).distinct()
-            held = lists.groupBy("id").agg(F.collect_list(F.struct("place", "token")).alias("p"))
-            near = near.join(held.withColumnsRenamed({"id": "u", "p": "p"}), "u").join(held.withColumnsRenamed({"id": "v", "p": "q"}), "v")
-            early = lambda p, n: F.transform(F.filter(p, lambda t: t["place"] < F.col(n)), lambda t: t["token"])
-            pairs = near.filter(F.size(F.array_intersect(early("p", "x"), early("q", "y"))) >= F.col("need")).select("u", "v")
-        before = tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        pairs = ws.write(pairs.join(before, ["u", "v"], "left_anti"), f"pairs-{step}")
-        ids = pairs.select("u").union(pairs.select("v"))
-        got = ws.write(_verified(pairs, _keep(sets, ids.select(F.col("u").alias("id"))), percent), f"verified-{step}")
-        tried, links = tried.union(got.select("u", "v")), links.union(got.filter("linked").select("u", "v"))
-        if step < ROUNDS:
-            found = ws.write(components(links, ws, f"round-{step}"), f"classes-{step}")
-    return links
+    lists = lists.join(left, "token", "left_semi").select("token", "id", "n", "need", "place")
+    # then every pair of two classes that shares enough
+    rows = ws.write(lists.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "lists-left")
+    mixed = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / LIST_ROWS).alias("blocks")).filter("low < high").select("token", "blocks")
+    rows = rows.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("id", "token"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select("token", "low", "high", "block", "id", "n", "need", "place", "c")
+    a, b = rows.alias("a"), rows.alias("b")
+    # Sizes a and b need an overlap of o, so l shingles are shared among the first a - o + l and b - o + l.
+    need, overlap = F.least("a.need", "b.need"), F.ceil(percent * (F.col("a.n") + F.col("b.n")) / (100 + percent))
+    same_list = (F.col("a.token") == F.col("b.token")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high"))
+    once = (F.col("a.id") > F.col("b.id")) & ((F.col("a.low") == F.col("a.high")) | (F.col("a.block") != F.col("b.block")))
+    early = (F.col("a.place") < F.col("a.n") - overlap + need) & (F.col("b.place") < F.col("b.n") - overlap + need)
+    near = a.join(b, same_list & once & (F.col("a.c") != F.col("b.c")) & _long_enough("a.n", "b.n", percent) & early)
+    near = near.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), need.alias("need")).groupBy("u", "v", "need").agg(F.count("*").alias("shared"))
+    pairs = near.filter("shared >= need").select("u", "v")
+    before = tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    pairs = ws.write(pairs.join(before, ["u", "v"], "left_anti"), "pairs")
+    ids = pairs.select("u").union(pairs.select("v"))
+    got = ws.write(_verified(pairs, _near(sets, ids, bits), percent), "verified-1")
+    return links.union(got.filter("linked").select("u", "v"))
 
 
 def pair_counts(keys: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray, weight: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -331,7 +341,7 @@ def pair_counts(keys: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: n
     return out
 
 
-def _tally(members: DataFrame, items: DataFrame, ws: Workspace, percent: int) -> DataFrame:
+def _tally(members: DataFrame, items: DataFrame, ws: Workspace, percent: int, bits: int) -> DataFrame:
     """rep and n: the weight of the different sets that link to each member (rep, id, n, weight, component)."""
     # sizes of a link lie in one band or in two that follow each other
     band = F.floor(F.log(F.col("n")) / (float(np.log(max(100 / percent, 1.01))) * (1 + 1e-9)))
@@ -350,7 +360,7 @@ def _tally(members: DataFrame, items: DataFrame, ws: Workspace, percent: int) ->
     right = units.filter("x != y or i != j").select(*unit, F.col("y").alias("band"), F.col("j").alias("slot"), F.lit(1).alias("side"))
     dealt = members.join(bands.drop("sets"), ["component", "band"]).withColumn("slot", F.pmod(F.xxhash64("rep"), F.col("m"))).drop("m", "n")
     placed = ws.write(dealt.join(left.union(right), ["component", "band", "slot"]).select(*unit, "side", "rep", "id", "weight"), "units")
-    whole = placed.join(_keep(items, placed.select("id").distinct()), "id").select(*unit, "side", "rep", "weight", "items")
+    whole = placed.join(_near(items, placed.select("id").distinct(), bits), "id").select(*unit, "side", "rep", "weight", "items")
 
     def counts(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(parts).combine_chunks()
@@ -399,36 +409,39 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, cou
     ws = Workspace(spark, "jaccard_join")
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    first = ws.write(_first_pass(rows, n), "first", ["kind"])
-    found = first.filter("kind = 0")
+    found = ws.write(_first_pass(rows, n), "first")
     names = None
     if _ambiguous(found):
         rows = ws.write(rows.withColumn("name", F.col("id")).withColumn("id", F.monotonically_increasing_id()), "rows")
         names = rows.select("id", "name")
-        first = ws.write(_first_pass(rows.select("id", "text"), n), "first-of-rows", ["kind"])
-        found = first.filter("kind = 0")
         rows = rows.select("id", "text")
+        found = ws.write(_first_pass(rows, n), "first-of-rows")
+    bits = _bits_for(found.count())
     sets = found.filter("n > 0")
-    of_set = ws.write(sets.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "sets")
-    told = first.filter("kind > 0").groupBy("d1", "kind").agg(F.sum("n").alias("n")).filter("n > 1").withColumn("n", F.when(F.col("kind") == 1, F.col("n")).otherwise(F.col("n") * SAMPLE))
-    top = told.groupBy("d1").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "d1").limit(HOT).toArrow()
-    hot = tuple(top.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("d1", "n"))
+    of_set = ws.write(sets.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "sets")
+    top = _frequencies(rows, n).toArrow()
+    hot = tuple(top.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "n"))
     shared = spark.sparkContext.broadcast((hot[0].view(np.uint64), hot[1]))
-    firsts = _bitmap(of_set.select("rep"))
-    tokens = _prefix_rows(rows, shared, firsts, n, percent).withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int"))
+    del top
+    # one row of each set, as far as a bitmap can tell; a few copies do no harm
+    tokens = _prefix_rows(rows, of_set.select("rep"), shared, n, percent, bits).withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("id"), F.lit(SALTS))).otherwise(0).cast("int"))
     own = Window.partitionBy("token", "salt")
     lists = tokens.withColumns({"times": F.count("*").over(own), "lead": F.min(F.struct("id", "n")).over(own)}).filter(F.col("heavy") | (F.col("times") > 1))
     shared_rows = ws.write(lists.select("token", "id", "n", "need", "place", "heavy", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n")), "shared")
     enough = shared_rows.groupBy("id", "n").agg(F.count("*").alias("t")).filter(F.col("t") >= _fewest("n", percent))
-    lists = ws.write(_keep(shared_rows, enough.select("id")), "lists")
+    lists = ws.write(_near(shared_rows, enough.select("id"), bits), "lists")
     ws.drop("shared")
-    items = ws.write(_sets_of(rows, lists.select("id").distinct(), n), "items")
-    links = _links(lists, items, ws, percent)
-    rep = sets.join(of_set, ["d1", "d2", "n"]).select("id", "rep").distinct()
-    copies = rep.filter(F.col("id") != F.col("rep")).select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    reached = components(links.union(copies), ws, "final").withColumnRenamed("id", "member")
-    out = found.join(reached, F.col("id") == F.col("member"), "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    counted = []
+    items = ws.write(_sets_of(rows, lists.select("id").distinct(), n, bits), "items")
+    links = _links(lists, items, ws, percent, bits)
+    # links between first documents of sets: copies take their set's class afterwards
+    rep = ws.write(sets.join(of_set, ["d1", "d2", "n"]).select("id", "rep").distinct(), "reps")
+    first_of = lambda c: rep.select(F.col("id").alias(c), F.col("rep").alias(f"{c}_rep"))
+    links = links.join(first_of("u"), "u").join(first_of("v"), "v").select(F.col("u_rep").alias("u"), F.col("v_rep").alias("v")).filter("u != v")
+    reached = ws.write(components(links, ws, "final").select(F.col("id").alias("rep"), "component"), "classes")
+    classed = rep.join(reached, "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    member = classed.withColumnRenamed("id", "member")
+    out = found.join(member, F.col("id") == F.col("member"), "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    counted = ["n_links"] if count else []
     if count:
         # rows of one id and set are one document
         docs_of = sets if names is None else sets.join(names.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"))
@@ -437,12 +450,11 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, cou
         weighed = ws.write(of_set.join(weights, ["d1", "d2", "n"]).select("d1", "d2", "n", "rep", "weight"), "weighed")
         # a set's prefix may have come from a copy of its first document
         sent = items.select("id").join(rep, "id").groupBy("rep").agg(F.min("id").alias("id"))
-        members = sent.join(weighed, "rep").join(reached, F.col("rep") == F.col("member")).select("rep", "id", "n", "weight", "component")
-        tally = _tally(ws.write(members, "members"), items, ws, percent).withColumnRenamed("n", "other")
-        links_of = weighed.join(tally, "rep", "left").select("d1", "d2", "n", (F.col("weight") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
-        links_of = sets.join(links_of, ["d1", "d2", "n"]).select("id", "n_links").distinct()
-        out = out.join(links_of, "id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
-        counted = ["n_links"]
+        members = sent.join(weighed, "rep").join(reached, "rep").select("rep", "id", "n", "weight", "component")
+        tally = _tally(ws.write(members, "members"), items, ws, percent, bits).withColumnRenamed("n", "other")
+        links_of = weighed.join(tally, "rep", "left").select("rep", (F.col("weight") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
+        links_of = rep.join(links_of, "rep").select(F.col("id").alias("member"), "n_links")
+        out = out.join(links_of, F.col("id") == F.col("member"), "left").select("id", "n", "component", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     if names is not None:
         named = out.join(names, "id")
         least = named.groupBy("component").agg(F.min("name").alias("least"))
