@@ -3,12 +3,14 @@
 A zstandard dictionary is trained from labelled text of each class. A text's feature is the size
 under the bad dictionary less the size under the good one, divided by its bytes; a logistic curve,
 fitted on sampled rows that no dictionary has seen and weighted to the true shares of the classes,
-makes it a probability. The sample is bounded: ``max_rows`` rows of each class, those of the
-smallest hash among rows of ``max_bytes`` bytes at most. Scoring compresses whole texts.
-
-Defined cases: null and empty texts have feature 0; null labels and labels of absent ids are
-ignored, repeated ones count each; with one class alone (or none) every score is that class's
-share (0.5); repeated rows are scored each; extra columns are ignored.
+makes it a probability. The sample is bounded: ``max_rows`` labelled ids of each class, those of the
+smallest hash, with one text each, of which ``max_bytes`` bytes are learned from; a longer text gives
+them in ``PIECES`` pieces spread evenly over all of it. Scoring compresses whole texts.
+
+Defined cases: null and empty texts have feature 0; null labels, null ids and labels of absent ids
+are ignored; repeated labels count each in the classes' shares and once in the sample; of several
+texts of an id the one of smallest hash is learned from; with one class alone (or none) every score
+is that class's share (0.5); repeated rows are scored each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from .textbatch import byte_view
 from .workspace import small_batches, trim
 
 MAX_ROWS = 3000
-MAX_BYTES = 32_768
+MAX_BYTES, PIECES = 32_768, 32
 DICT_BYTES = 112_640
 LEVEL = 3
 
@@ -80,16 +82,48 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return float(beta[0] / scale), float(beta[1])
 
 
+def _learned(max_bytes: int):
+    """Of each id and label of a task the text of smallest hash, or the pieces of it to learn from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        schema = None
+        for batch in batches:
+            schema = pa.schema([*list(batch.schema)[:3], pa.field("text", pa.binary())])
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                mark = batch.column(2)[i].as_py()
+                if key not in held or mark < held[key][0]:
+                    held[key] = mark, pieces(batch.column(3)[i].as_py().encode(), max_bytes)
+        if held:
+            columns = [[k[0] for k in held], [k[1] for k in held], [v[0] for v in held.values()], [v[1] for v in held.values()]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return run
+
+
+def pieces(text: bytes, max_bytes: int = MAX_BYTES) -> bytes:
+    """The text, or max_bytes of it in pieces at even distances from its start to its end."""
+    if len(text) <= max_bytes:
+        return text
+    size = max(1, max_bytes // PIECES)
+    starts = np.linspace(0, len(text) - size, max_bytes // size).astype(np.int64).tolist()
+    return b"".join(text[a : a + size] for a in starts)
+
+
 def fit(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """``train``: a condition on the id column of labels for the rows to learn from."""
-    known = labels.filter(train & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
+    small_batches(docs.sparkSession)
+    known = labels.filter(train & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     shares = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
-    sampled = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_rows) for y in (0, 1)]
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter((F.octet_length("text") <= max_bytes) & (F.octet_length("text") > 0))
-    got = texts.join(F.broadcast(sampled[0].union(sampled[1])), "id").select("y", "text", F.xxhash64("id").alias("h")).toArrow()
+    different = known.distinct()
+    sampled = [different.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_rows) for y in (0, 1)]
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text") > 0)
+    met = texts.join(F.broadcast(sampled[0].union(sampled[1])), "id").select("id", "y", F.xxhash64("text").alias("mark"), "text")
+    one = met.mapInArrow(_learned(max_bytes), f"id {met.schema['id'].dataType.simpleString()}, y int, mark long, text binary").groupBy("id", "y").agg(F.min_by("text", "mark").alias("text"))
+    got = one.select("y", "text", F.xxhash64("id").alias("h")).toArrow()  # 2 * max_rows rows of max_bytes at most
     rows = sorted(zip(got.column("h").to_pylist(), got.column("y").to_pylist(), got.column("text").to_pylist(), strict=True))
     total = sum(shares.values())
-    by = {y: [t.encode() for _, c, t in rows if c == y] for y in (0, 1)}
+    by = {y: [t for _, c, t in rows if c == y] for y in (0, 1)}
     if min(map(len, by.values())) < 2:
         share = 0.5 if not total else (shares.get(1, 0) + 1e-3) / (total + 2e-3)
         return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))

@@ -3,14 +3,16 @@
 A text's vector: its byte 1- to 3-grams (A-Z lower-cased, any run of ASCII bytes that aren't letters
 read as one space, so that symbols don't pass for a language) hashed to ``DIMS`` places,
 log(1 + count) times the inverse document frequency, length 1. The frequencies are counted over all training rows.
-Each language gets ``clusters`` centroids by spherical k-means over a bounded sample: the
-``max_rows`` rows of smallest hash among its rows of ``max_bytes`` bytes at most. The prediction is
+Each language gets ``clusters`` centroids by spherical k-means over a bounded sample: up to
+``max_rows`` different rows, those of smallest hash of id and text. A sampled text, of any length, is
+counted whole where it lies, so that only vectors reach the driver. The prediction is
 the language of the nearest centroid by cosine. ``rejected`` marks texts that lie further from it
 than all but one in ``REJECT`` of its own sample; their nearest language is reported still.
 
 Defined cases: ``und`` with score 0 for a null text or one without a letter, or if nothing was
-learned; training rows with null language or text are not learned from; repeated rows are predicted
-each; extra columns are ignored.
+learned; training rows with null language or empty or null text are not learned from; repeated rows
+are one row of the sample and predicted each; a tie between languages goes to the one that sorts
+first; a language whose sampled rows hold no letter has no centroid; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textbatch import BLOCK, LOWER, U, byte_view, slices
-from .workspace import small_batches
+from .workspace import small_batches, trim
 
 DIMS = 4096
 CLUSTERS = 3
 MAX_ROWS = 400
-MAX_BYTES = 32_768
+#: rows by hash that are looked at for the sample, as a multiple of it: copies among them count once
+LOOK = 8
 REJECT = 200
 GROUP = 64
 
@@ -107,9 +110,51 @@ def _k_means(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = CLUSTERS, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
+def _sample(rows: DataFrame, max_rows: int) -> DataFrame:
+    """Up to max_rows different rows (lang, id, h, text) of each language, by the smallest hash.
+
+    A threshold from the language's count leaves few rows before any of them moves; equal rows are
+    dropped first within their task, then between tasks.
+    """
+    h = F.xxhash64("id", "text")
+    sizes = rows.groupBy("lang").count().withColumn("share", F.lit(float(LOOK * max_rows)) / F.col("count")).select("lang", "share")
+    place = F.shiftrightunsigned(h, 11) / float(1 << 53)
+    near = rows.withColumn("h", h).join(F.broadcast(sizes), "lang").filter(place < F.col("share")).select("lang", "id", "h", "text")
+
+    def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            new = []
+            for i, k in enumerate(keys):
+                if k not in seen:
+                    seen.add(k)
+                    new.append(i)
+            if new:
+                yield batch.take(pa.array(new))
+
+    once = near.mapInArrow(different, near.schema).dropDuplicates(["lang", "h"])
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= max_rows).drop("rank")
+
+
+def _sampled_counts(sample: DataFrame) -> DataFrame:
+    """lang, h and the counts of the grams of each sampled text, as slots and times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, count in counts(*byte_view(batch.column(2))):
+                row, slot = np.nonzero(count)
+                bounds = pa.array(np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (slot.astype(np.int32), count[row, slot].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), *lists], names=["lang", "h", "slots", "times"])
+
+    return sample.select("lang", "h", "text").mapInArrow(run, "lang string, h long, slots array<int>, times array<long>")
+
+
+def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = CLUSTERS, max_rows: int = MAX_ROWS) -> Model:
+    """Learns from rows with a language and a text; the model holds clusters vectors for each language."""
     small_batches(train.sparkSession)
-    rows = train.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = train.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIMS, np.int64), 0
@@ -123,15 +168,18 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     df = {r[0]: r[1] for r in rows.select("text").mapInArrow(frequencies, "slot long, n long").groupBy("slot").agg(F.sum("n")).collect()}
     n = df.get(DIMS, 0)
     idf = np.log((1 + n) / (1 + np.array([df.get(i, 0) for i in range(DIMS)]))).astype(np.float32) + np.float32(0.05)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    fits = F.octet_length("text").between(1, max_bytes)
-    sample = rows.filter(fits).select("id", "lang", F.xxhash64("id").alias("h")).withColumn("rank", rank).filter(F.col("rank") <= max_rows).select("id", "lang")
-    got = rows.filter(fits).join(F.broadcast(sample), ["id", "lang"]).orderBy("lang", "id").toArrow()
-    langs = sorted(set(got.column("lang").to_pylist()))
+    by: dict[str, list[tuple[int, np.ndarray]]] = {}
+    got = _sampled_counts(_sample(rows, max_rows)).toArrow()  # max_rows vectors a language at most
+    for lang, h, slots, times in zip(*(got.column(c).to_pylist() for c in ("lang", "h")), *(got.column(c).combine_chunks() for c in ("slots", "times")), strict=True):
+        if len(slots.values):
+            x = np.zeros(DIMS, np.int64)
+            x[slots.values.to_numpy()] = times.values.to_numpy()
+            by.setdefault(lang, []).append((h, vectors(x[None, :], idf)[0]))
+    del got
+    langs = sorted(by)
     centroids, owner, least = [], [], []
     for place, lang in enumerate(langs):
-        texts = [t for t, x in zip(got.column("text").to_pylist(), got.column("lang").to_pylist(), strict=True) if x == lang]
-        x = np.concatenate([vectors(c, idf) for _, _, c in counts(*byte_view(pa.array(texts)))])
+        x = np.stack([v for _, v in sorted(by[lang], key=lambda row: row[0])])
         c = _k_means(x, clusters)
         sims = x @ c.T
         own = sims.argmax(1)
@@ -140,6 +188,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
             centroids.append(c[k])
             owner.append(place)
             least.append(mine[len(mine) // REJECT] if len(mine) else 0.0)
+    trim()
     return Model(langs, idf, np.array(centroids, np.float32).reshape(-1, DIMS), np.array(owner, np.int64), np.array(least, np.float32))
 
 

@@ -3,9 +3,11 @@
 Counting: each task packs every byte with its ``order`` predecessors into one integer and counts
 those in bounded memory; Spark sums them. A model is compiled on the driver from the summed counts
 into sorted hash arrays, in shards: all contexts that end in the same two bytes lie in one shard, so
-that each position of a text needs one shard alone. A shard holds at most ``max_entries`` grams
-(one pair of bytes is never divided), which bounds what is collected and broadcast; more grams
-mean more passes over the texts, not a coarser model.
+that each position of a text needs one shard alone. A pair of bytes with too many grams is divided
+by the byte before it, and so on; the few shorter grams that its parts share (256 of each length)
+are counted apart. So a shard holds at most ``max_entries`` grams (or the 256 of one whole context),
+which bounds what is collected and broadcast; more grams mean more passes over the texts, not a
+coarser model.
 """
 
 from __future__ import annotations
@@ -48,35 +50,98 @@ def summed(counts: DataFrame) -> DataFrame:
     return counts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-@dataclass
-class Shard:
-    """Grams whose context ends in a pair of bytes from lo to hi."""
+@dataclass(frozen=True)
+class Range:
+    """Contexts of one shard: those that end in the ``depth`` bytes of ``suffix``, the byte before them
+    from lo to hi and not in ``skip``. At depth 0 lo, hi and skip are the last two bytes together."""
 
     lo: int
     hi: int
-    keys: np.ndarray = field(repr=False)
-    counts: np.ndarray = field(repr=False)
+    depth: int = 0
+    suffix: int = 0
+    skip: tuple[int, ...] = ()
+
+    @property
+    def whole(self) -> bool:
+        return not self.depth and not self.skip and (self.lo, self.hi) == (0, 0xFFFF)
+
+    def own(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each gram's context is in the range."""
+        at = (keys >> U(8 * (self.depth + 1))) & U(0xFF if self.depth else 0xFFFF)
+        out = (at >= U(self.lo)) & (at <= U(self.hi))
+        if self.skip:
+            out &= ~np.isin(at, np.array(self.skip, np.uint64))
+        return out & (((keys >> U(8)) & _mask(self.depth)) == U(self.suffix)) if self.depth else out
+
+    def rows(self):
+        """The same of the column ``key``."""
+        at = F.shiftrightunsigned("key", 8 * (self.depth + 1)).bitwiseAND(F.lit(0xFF if self.depth else 0xFFFF))
+        out = at.between(self.lo, self.hi)
+        if self.skip:
+            out = out & ~at.isin(*self.skip)
+        return out & (_suffix(self.depth) == self.suffix) if self.depth else out
+
+
+def _suffix(depth: int):
+    return F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * depth)) - 1))
+
 
+@dataclass
+class Shard:
+    """Grams whose contexts are in a range. ``upper``: those grams of 3 to depth + 1 bytes that end in its
+    suffix and a byte, by their length, with sums (or numbers of longer grams) over all ranges."""
 
-def shard_ranges(counts: DataFrame, max_entries: int) -> list[tuple[int, int]]:
-    pair = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    rows = counts.groupBy(pair.alias("pair")).count().collect()  # 65,536 at most
-    out, lo, held = [], 0, 0
-    for at, n in sorted((r[0], r[1]) for r in rows):
-        if held and held + n > max_entries:
-            out.append((lo, at - 1))
+    range: Range
+    keys: np.ndarray = field(repr=False)
+    counts: np.ndarray = field(repr=False)
+    upper: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict, repr=False)
+
+
+def _divided(sizes: dict[int, int], most: int, last: int, deeper: bool, depth: int = 0, suffix: int = 0) -> tuple[list[Range], list[int]]:
+    """Ranges that cover places 0 to last but the hot ones, and those: places too large for one shard."""
+    hot = sorted(at for at, n in sizes.items() if n > most) if deeper else []
+    cuts, lo, held = [], 0, 0
+    for at, n in sorted(sizes.items()):
+        if at in hot:
+            continue
+        if held and held + n > most:
+            cuts.append((lo, at - 1))
             lo, held = at, 0
         held += n
-    return [*out, (lo, 0xFFFF)]
+    return [Range(a, b, depth, suffix, tuple(x for x in hot if a <= x <= b)) for a, b in [*cuts, (lo, last)]], hot
+
+
+def shard_ranges(counts: DataFrame, max_entries: int, order: int) -> list[Range]:
+    sizes = {r[0]: r[1] for r in counts.groupBy(_suffix(2).alias("pair")).count().collect()}  # 65,536 at most
+    out, hot = _divided(sizes, max_entries, 0xFFFF, order > 2)
+    depth = 2
+    while hot:
+        # the byte before each hot suffix: 256 rows for each, and there are at most grams / max_entries of them
+        parts: dict[int, dict[int, int]] = {}
+        for s, n in counts.filter(_suffix(depth).isin(hot)).groupBy(_suffix(depth + 1).alias("s")).count().collect():
+            parts.setdefault(s & ((1 << (8 * depth)) - 1), {})[s >> (8 * depth)] = n
+        again = []
+        for suffix in hot:
+            ranges, bytes_ = _divided(parts[suffix], max_entries, 0xFF, depth + 1 < order, depth, suffix)
+            out += ranges
+            again += [x << (8 * depth) | suffix for x in bytes_]
+        depth, hot = depth + 1, again
+    return out
 
 
-def fetch_shard(counts: DataFrame, lo: int, hi: int) -> Shard:
-    pair = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    got = counts.filter(pair.between(lo, hi)).select("key", "n").toArrow()
+def fetch_shard(counts: DataFrame, within: Range, order: int, distinct: bool) -> Shard:
+    got = counts.filter(within.rows()).select("key", "n").toArrow()
     keys, n = (got.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("key", "n"))
     keys = keys.astype(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return Shard(lo, hi, keys[order], n.astype(np.int64)[order])
+    place = np.argsort(keys)
+    upper = {}
+    for k in range(3, within.depth + 2):
+        suffix = within.suffix & ((1 << (8 * (k - 1))) - 1)
+        before = F.shiftrightunsigned("key", 8 * k).bitwiseAND(F.lit(0xFF))
+        of = counts.filter(_suffix(k - 1) == suffix).groupBy(F.col("key").bitwiseAND(F.lit(0xFF)).alias("s"))
+        rows = sorted(of.agg((F.count_distinct(before) if distinct else F.sum("n")).alias("n")).collect())  # 256 at most
+        upper[k] = np.array([suffix << 8 | r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
+    return Shard(within, keys[place], n.astype(np.int64)[place], upper)
 
 
 def _mask(length: int) -> np.uint64:
@@ -87,6 +152,9 @@ def _suffix_levels(shard: Shard, order: int, distinct: bool) -> dict[int, tuple[
     """Counts by gram length from order+1 down to 2: sums, or (distinct) numbers of longer grams."""
     levels = {order + 1: (shard.keys, shard.counts)}
     for k in range(order, 1, -1):
+        if k in shard.upper:
+            levels[k] = shard.upper[k]
+            continue
         keys, n = levels[k + 1]
         short = keys & _mask(k)
         levels[k] = counted(short) if distinct else merged(short, n)
@@ -120,7 +188,7 @@ class PPMTable:
     """
 
     def __init__(self, shard: Shard, order: int, pairs: np.ndarray):
-        self.order, self.lo, self.hi = order, shard.lo, shard.hi
+        self.order, self.range = order, shard.range
         levels = _suffix_levels(shard, order, distinct=False)
         single = pairs.reshape(256, 256).sum(0)
         two = np.arange(65536, dtype=np.uint64)[pairs > 0]
@@ -227,7 +295,7 @@ class KNTable:
     """
 
     def __init__(self, shard: Shard, order: int, pairs: np.ndarray, of: dict[int, np.ndarray]):
-        self.order, self.lo, self.hi = order, shard.lo, shard.hi
+        self.order, self.range = order, shard.range
         levels = _suffix_levels(shard, order, distinct=True)
         single = (pairs.reshape(256, 256) > 0).sum(0) if order >= 2 else pairs.reshape(256, 256).sum(0)
         d = discounts(of[1])
@@ -276,43 +344,58 @@ class KNTable:
 # --- from counts to shards ----------------------------------------------------------------------
 
 
+def _own_levels(shard: Shard, levels: dict[int, tuple[np.ndarray, np.ndarray]], seen: set[tuple[int, int]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The levels that no shard before has told: parts of one suffix share its shorter grams."""
+    out, r = {}, shard.range
+    for k, level in levels.items():
+        if r.depth and k <= r.depth + 1:
+            mark = k, r.suffix & ((1 << (8 * max(2, k - 1))) - 1)
+            if mark in seen:
+                continue
+            seen.add(mark)
+        out[k] = level
+    return out
+
+
 def ppm_shards(counts: DataFrame, order: int, max_entries: int) -> Iterator[PPMTable]:
-    ranges = shard_ranges(counts, max_entries)
-    first = [fetch_shard(counts, *ranges[0])]
-    pairs = np.zeros(65536, np.int64)
+    ranges = shard_ranges(counts, max_entries, order)
+    first = [fetch_shard(counts, ranges[0], order, False)]
+    pairs, seen = np.zeros(65536, np.int64), set()
     for i, r in enumerate(ranges):
-        s = first[0] if i == 0 else fetch_shard(counts, *r)
-        pairs += _pair_table(*_suffix_levels(s, order, distinct=False)[2])
+        s = first[0] if i == 0 else fetch_shard(counts, r, order, False)
+        own = _own_levels(s, _suffix_levels(s, order, distinct=False), seen)
+        if 2 in own:
+            pairs += _pair_table(*own[2])
     for i, r in enumerate(ranges):
-        yield PPMTable(first.pop() if i == 0 else fetch_shard(counts, *r), order, pairs)
+        yield PPMTable(first.pop() if i == 0 else fetch_shard(counts, r, order, False), order, pairs)
 
 
 def kn_shards(counts: DataFrame, order: int, max_entries: int) -> Iterator[KNTable]:
-    ranges = shard_ranges(counts, max_entries)
-    first = [fetch_shard(counts, *ranges[0])]
-    pairs, of = np.zeros(65536, np.int64), {k: np.zeros(6, np.int64) for k in range(1, order + 2)}
+    ranges = shard_ranges(counts, max_entries, order)
+    first = [fetch_shard(counts, ranges[0], order, True)]
+    pairs, of, seen = np.zeros(65536, np.int64), {k: np.zeros(6, np.int64) for k in range(1, order + 2)}, set()
     for i, r in enumerate(ranges):
-        s = first[0] if i == 0 else fetch_shard(counts, *r)
-        levels = _suffix_levels(s, order, distinct=True)
-        pairs += _pair_table(*levels[2])
-        for k in range(3, order + 2):
-            of[k] += np.bincount(np.minimum(levels[k][1], 5), minlength=6)
+        s = first[0] if i == 0 else fetch_shard(counts, r, order, True)
+        for k, (keys, n) in _own_levels(s, _suffix_levels(s, order, distinct=True), seen).items():
+            if k == 2:
+                pairs += _pair_table(keys, n)
+            else:
+                of[k] += np.bincount(np.minimum(n, 5), minlength=6)
     single = (pairs.reshape(256, 256) > 0).sum(0)
     of[2], of[1] = (np.bincount(np.minimum(x, 5), minlength=6) for x in (pairs, single))
     for i, r in enumerate(ranges):
-        yield KNTable(first.pop() if i == 0 else fetch_shard(counts, *r), order, pairs, of)
+        yield KNTable(first.pop() if i == 0 else fetch_shard(counts, r, order, True), order, pairs, of)
 
 
 def sums_by_row(log_of, table, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sum of log_of(grams) and number of grams for each row, over the grams of the table's shard."""
     out, count = np.zeros(len(offs) - 1), np.zeros(len(offs) - 1, np.int64)
-    whole = (table.lo, table.hi) == (0, 0xFFFF)
+    whole = table.range.whole
     for keys, rows, begin in grams(data, offs, table.order):
         if whole:
             values = log_of(keys)
         else:
-            pair = (keys >> U(8)) & U(0xFFFF)
-            own = np.flatnonzero((pair >= U(table.lo)) & (pair <= U(table.hi)))
+            own = np.flatnonzero(table.range.own(keys))
             values = np.zeros(len(keys))
             values[own] = log_of(keys[own])
         out[rows] += np.add.reduceat(values, begin)

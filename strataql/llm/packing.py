@@ -356,13 +356,14 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     """A row for each piece: id, piece, start, length, ids_crc32, sequence_id and offset."""
     spark = docs.sparkSession
     ws = Workspace(spark, "packing")
-    pieces = ws.write(token_pieces(docs, path, id_col, text_col, size, end_id), "pieces")
+    # rows of one id may be many: a number of the row, kept with it, deals them out too
+    pieces = ws.write(token_pieces(docs, path, id_col, text_col, size, end_id).withColumn("salt", F.monotonically_increasing_id()), "pieces")
     histogram = np.zeros(size + 1, np.int64)
     for n, count in pieces.groupBy("length").count().collect():  # ``size`` rows at most
         histogram[n] = count
     plan = spark.sparkContext.broadcast(Plan(histogram, size))
     buckets = max(64, -(-int(histogram.max()) // BUCKET_ROWS))
-    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece"), F.lit(buckets)).cast("int"))
+    rows = pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "salt"), F.lit(buckets)).cast("int"))
     per = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     # buckets of a length: a bounded number of sums, however many pieces the length has
     before = per.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))

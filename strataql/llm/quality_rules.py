@@ -3,7 +3,9 @@
 The n-gram model is modified Kneser-Ney over bytes, counted by Spark over all rows and kept in
 sorted hash arrays (ngram_model). A row's perplexity is taken per byte. Each language has a lower
 and an upper band around its median, as wide as ``width`` times the distance between its quartiles
-on that side (``least_spread`` of log perplexity at least), from all rows that pass the base rules;
+on that side (``least_spread`` of log perplexity at least), from all rows that pass the base rules.
+The quartiles are those of a histogram of log perplexity with cells of ``CELL``, so that bands depend
+on the rows alone and not on how they are dealt out;
 for a text of n bytes both are wider by sqrt(SHORT / n), as short texts scatter more.
 
 Defined cases: a null text is empty and fails the base rules; a null language is a language of its
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ngram_model as M
@@ -28,6 +30,7 @@ MAX_ENTRIES = 3_000_000
 WIDTH = 6.0
 LEAST_SPREAD = 0.02
 SHORT = 100
+CELL = 0.001
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 #: code points: bytes that aren't continuations; inside words: that aren't spaces
@@ -99,13 +102,23 @@ def measure(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col: st
     return out.withColumn("log_ppl", -F.col("log_sum") / F.col("n_grams")).drop("log_sum")
 
 
+def quartiles(cells: DataFrame) -> DataFrame:
+    """of and q, the three quartiles, from (of, cell, n): the middle of the cell in which each lies."""
+    up_to = F.sum("n").over(Window.partitionBy("of").orderBy("cell"))
+    total = F.sum("n").over(Window.partitionBy("of"))
+    ranked = cells.withColumns({"up_to": up_to, "total": total})
+    at = lambda share: F.min(F.when(F.col("up_to") >= share * F.col("total"), (F.col("cell") + 0.5) * CELL))
+    return ranked.groupBy("of").agg(F.array(*(at(share) for share in (0.25, 0.5, 0.75))).alias("q"))
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, width: float = WIDTH, least_spread: float = LEAST_SPREAD, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """The form counts, base_failed, log_ppl, the language's band and kept of each row."""
     ws = Workspace(docs.sparkSession, "quality_rules")
     rows = measure(docs, ws, id_col, text_col, lang_col, order, max_entries)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    q = rows.filter(~F.col("base_failed")).groupBy(F.col("lang").alias("of")).agg(F.percentile_approx("log_ppl", [0.25, 0.5, 0.75], 10000).alias("q"))
+    cells = rows.filter(~F.col("base_failed")).groupBy(F.col("lang").alias("of"), F.floor(F.col("log_ppl") / CELL).alias("cell")).agg(F.count("*").alias("n"))
+    q = quartiles(cells)
     below, above = (F.greatest(a - b, F.lit(least_spread)) for a, b in ((F.col("q")[1], F.col("q")[0]), (F.col("q")[2], F.col("q")[1])))
     bands = q.select("of", F.col("q")[1].alias("middle"), (width * below).alias("below"), (width * above).alias("above"))
     wider = 1 + F.sqrt(SHORT / F.col("n_grams"))

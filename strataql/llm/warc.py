@@ -2,9 +2,11 @@
 
 A record is one row, and the text sink puts rows into files, so archives reach any store that Spark
 writes. A compressed record is a gzip member of its own, so that damage ends at the next record; the
-sink's separator of rows is then an empty member, which readers of gzip pass over. Of equal payloads of
-``least_revisit`` bytes or more, the row with the smallest id is a response and the others refer
-to it; no other row is a revisit.
+sink's separator of rows is then an empty member, which readers of gzip pass over. A file holds at
+most ``FILE_ROWS`` records and about ``FILE_BYTES`` bytes of payload, or one record that is larger. Of
+equal payloads of ``least_revisit`` bytes or more, the row with the smallest id is a response and the
+others refer to it; no other row is a revisit. What refers to what is found among digests alone:
+payloads are not shuffled while the repeated digests are few enough to broadcast, else once by id.
 
 Reading checks each gzip member and each record: version line, header lines, Content-Length, the
 blank lines after the block, and the payload digest. Where a check fails, the reader searches for
@@ -14,8 +16,9 @@ up to the damage is taken byte by byte.
 
 Defined cases: a null payload is empty; a null id is never referred to and always a response; rows
 that repeat the smallest id are responses each; null URLs are left out of the record; line feeds
-in URLs are percent-encoded; a file without any record is one gap; empty files have none; extra
-columns are ignored.
+in URLs are percent-encoded; a file without any record is one gap; empty files have none; a payload
+of 2 GB or more is no row of Spark's and can't occur; headers that don't end within ``HEAD_BYTES``
+are broken; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import small_batches
+from .workspace import Workspace, small_batches
 
 VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
 EMPTY_MEMBER = zlib.compress(b"", wbits=31)
-FILE_ROWS = 2000
+FILE_ROWS, FILE_BYTES = 2000, 256 << 20
+HEAD_BYTES = 1 << 18
+#: repeated digests that are broadcast at most (about 100 bytes each)
+FEW = 500_000
 LEAST_REVISIT = 100
 ROW_SCHEMA = "file string, offset long, record_type string, page_id long, url string, payload_bytes long, payload_digest string, refers_to long, payload binary, gap_bytes long, reason string"
 
@@ -43,12 +49,27 @@ ROW_SCHEMA = "file string, offset long, record_type string, page_id long, url st
 # --- writing ------------------------------------------------------------------------------------
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = LEAST_REVISIT) -> DataFrame:
-    """One row for each record of pages: ``value``, its bytes but for the last line feed."""
+def references(pages: DataFrame, ws: Workspace, id_col: str = "page_id", payload_col: str = "html", least_revisit: int = LEAST_REVISIT) -> tuple[DataFrame, int, int]:
+    """(digest, first): payloads that several rows have and the smallest id; their number, and the largest payload."""
+    payload = F.coalesce(F.col(payload_col), F.lit(""))
+    marks = pages.select(F.col(id_col).alias("id"), F.octet_length(payload).cast("long").alias("size"), F.sha2(payload, 256).alias("digest"))
+    by_digest = marks.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max("size").alias("size"))
+    found = ws.write(by_digest.filter((F.col("n") > 1) | (F.col("size") > FILE_BYTES // FILE_ROWS)), "digests")
+    firsts = found.filter((F.col("n") > 1) & (F.col("size") >= least_revisit)).select("digest", "first")
+    largest = found.agg(F.max("size")).first()[0] or 0
+    return firsts, firsts.count(), largest
+
+
+def records(pages: DataFrame, ws: Workspace, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = LEAST_REVISIT, few: int = FEW) -> tuple[DataFrame, int]:
+    """One row for each record of pages: ``value``, its bytes but for the last line feed, and the payload's ``size``; the largest size."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha2("payload", 256)})
-    firsts = rows.filter(F.col("size") >= least_revisit).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(firsts, "digest", "left")
+    firsts, n, largest = references(pages, ws, id_col, payload_col, least_revisit)
+    if n <= few:
+        rows = rows.join(F.broadcast(firsts), "digest", "left")
+    else:
+        told = rows.filter((F.col("size") >= least_revisit) & F.col("id").isNotNull()).select("id", "digest").join(firsts, "digest").filter(F.col("id") != F.col("first"))
+        rows = rows.join(told.distinct(), ["id", "digest"], "left")
     revisit = F.col("first").isNotNull() & F.col("id").isNotNull() & (F.col("id") != F.col("first"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
@@ -61,16 +82,24 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
         F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"), line("WARC-Refers-To", urn(F.col("first"))))).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\n"), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
-    return rows.select(F.concat(head, block, F.lit("\r\n\r")).alias("value"))
+    return rows.select(F.concat(head, block, F.lit("\r\n\r")).alias("value"), "size"), largest
+
+
+def write(pages: DataFrame, path: str, compress: bool = True, file_rows: int = FILE_ROWS, file_bytes: int = FILE_BYTES, **columns) -> None:
+    """Archives of at most ``file_rows`` records in folder path; large payloads have files of fewer."""
+    rows, largest = records(pages, Workspace(pages.sparkSession, "warc_write"), **columns)
+    usual = max(1, file_bytes // file_rows)
+    _write(rows if largest <= usual else rows.filter(F.col("size") <= usual), path, compress, file_rows)
+    if largest > usual:
+        _write(rows.filter(F.col("size") > usual), path, compress, max(1, file_bytes // largest))
 
 
-def write(pages: DataFrame, path: str, compress: bool = True, file_rows: int = FILE_ROWS, **columns) -> None:
-    """Archives of at most ``file_rows`` records in folder path."""
-    rows, separator = records(pages, **columns), "\n"
+def _write(rows: DataFrame, path: str, compress: bool, file_rows: int) -> None:
+    rows, separator = rows.select("value"), "\n"
     if compress:
-        small_batches(pages.sparkSession)
+        small_batches(rows.sparkSession)
         rows, separator = rows.mapInArrow(_compressed, "value binary").select(F.col("value").cast("string")), EMPTY_MEMBER.decode("latin-1")
-    writer = rows.write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", file_rows)
+    writer = rows.write.mode("append").option("encoding", "ISO-8859-1").option("lineSep", separator).option("maxRecordsPerFile", file_rows)
     writer.option("compression", "none").text(path)
 
 
@@ -116,7 +145,7 @@ def _record(data: bytes, at: int) -> tuple[Record | None, int, str]:
     """The record at a place and where the next one begins, or why there is none."""
     if not _NEXT.match(data, at):
         return None, at, "no version line"
-    end = data.find(b"\r\n\r\n", at)
+    end = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
     if end < 0:
         return None, at, "headers don't end"
     headers: dict[str, str] = {}

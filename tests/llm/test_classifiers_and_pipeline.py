@@ -59,6 +59,101 @@ def test_quality_odd_rows(spark):
     assert compression_classifier.score(docs.filter("false"), model).count() == 0
 
 
+def test_copies_and_long_rows_of_a_language(spark):
+    """A hundred thousand equal rows are one row of the sample; a language of long texts alone is learned."""
+    copies = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same and the same").alias("text"), F.lit("en").alias("lang"))
+    others = spark.createDataFrame([(i, f"der die {i} das und {i * 7} nicht", "de") for i in range(40)] + [(900 + i, "et la le pas " * 9000 + str(i), "fr") for i in range(3)], "doc_id long, text string, lang string")
+    rows = copies.union(others)
+    assert {(r.lang, r["count"]) for r in language_id._sample(rows.withColumnRenamed("doc_id", "id"), 30).groupBy("lang").count().collect()} == {("en", 1), ("de", 30), ("fr", 3)}
+    model = language_id.fit(rows, max_rows=30)
+    assert model.langs == ["de", "en", "fr"]
+    found = language_id.predict(spark.createDataFrame([(1, "la le"), (2, "the same"), (3, "das und")], "doc_id long, text string"), model)
+    assert [r.lang_pred for r in found.orderBy("doc_id").collect()] == ["fr", "en", "de"]
+
+
+def test_copies_and_long_rows_of_a_class(spark, monkeypatch):
+    """Repeated rows, repeated labels and many texts of one id reach the driver once; long rows teach by pieces."""
+    copies = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("@# $% "), (F.col("id") % 5).cast("string")).alias("text"))
+    good = spark.createDataFrame([(100 + i, f"a fine and sober text {i} " * 9000) for i in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 0)] * 50 + [(8, 0)] + [(100 + i, 1) for i in range(4)], "doc_id long, quality int")
+    docs = copies.union(good).union(spark.createDataFrame([(8, "%% && ##")], "doc_id long, text string"))
+    seen = []
+    monkeypatch.setattr(compression_classifier, "_dictionary", lambda samples, size: seen.append(samples) or b"".join(samples)[-size:])
+    model = compression_classifier.fit(docs, labels, F.lit(True))
+    assert sorted(len(x) for x in seen) == [1, 2] and all(len(t) <= compression_classifier.MAX_BYTES for x in seen for t in x)
+    assert model.good and model.bad
+    text = bytes(range(256)) * 4096
+    assert len(compression_classifier.pieces(text)) == compression_classifier.MAX_BYTES and compression_classifier.pieces(b"ab") == b"ab"
+
+
+def plain_stages(spark, docs, sf):
+    """The ids that each stage keeps, recomputed row by row."""
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+    from test_joins_and_search import brute
+    from test_text_and_models import brute_form, kn
+
+    from strataql.llm import ngram_model as M
+    from strataql.llm import textbatch as T
+    from strataql.llm.quality_rules import CELL, LEAST_SPREAD, SHORT, WIDTH
+
+    rows = docs.collect()
+    model = compression_classifier.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"), F.lit(True))
+    size = lambda d, b: len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d)).compress(b))
+
+    def good(t):
+        b = (t or "").encode()
+        x = (size(model.bad, b) - size(model.good, b)) / len(b) if b else 0.0
+        return model.slope * x + model.bias >= 0
+
+    rows = [r for r in rows if good(r.text)]
+    yield "quality_classifier", {r.doc_id for r in rows}
+    table = kn([r.text or "" for r in rows], 3)
+    measured = []
+    for r in rows:
+        (total,), (n,) = M.sums_by_row(table.log, table, *T.byte_view(pa.array([r.text], pa.string())))
+        words, _, _, _, repeated = brute_form(r.text or "")
+        measured.append((r, -total / n, n, words < 20 or 100 * repeated > 30 * words))
+    bands = {}
+    for lang in {r.lang for r in rows}:
+        cells = sorted(int(np.floor(x / CELL)) for r, x, _, bad in measured if r.lang == lang and not bad)
+        if cells:
+            low, middle, high = ((cells[-(-len(cells) * k // 4) - 1] + 0.5) * CELL for k in (1, 2, 3))
+            bands[lang] = middle, WIDTH * max(middle - low, LEAST_SPREAD), WIDTH * max(high - middle, LEAST_SPREAD)
+    wide = lambda n: 1 + (SHORT / n) ** 0.5
+    rows = [r for r, x, n, bad in measured if not bad and bands[r.lang][0] - bands[r.lang][1] * wide(n) <= x <= bands[r.lang][0] + bands[r.lang][2] * wide(n)]
+    yield "quality_rules", {r.doc_id for r in rows}
+    first = {c for _, _, c in brute([(r.doc_id, r.text) for r in rows])}
+    rows = [r for r in rows if r.doc_id in first]
+    yield "ngram_jaccard_join", first
+    yield "pattern_packing", {r.doc_id: r.text for r in rows}
+
+
+def test_pipeline_equals_plain_stages(spark, sf):
+    import tokenizers
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plain = dict(plain_stages(spark, docs, sf))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf).checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else stage(spark, docs, sf)
+        assert {r.doc_id for r in docs.select("doc_id").collect()} == plain[name], name
+    encoder = tokenizers.Tokenizer.from_file(queries.tokenizer_path(queries.TOKENIZER))
+    got = {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        got.setdefault(r.doc_id, []).append((r.piece, r.start, r.length))
+    assert set(got) == set(plain["pattern_packing"])
+    for i, text in plain["pattern_packing"].items():
+        n = len(encoder.encode(text or "", add_special_tokens=False).ids) + 1
+        assert sorted(got[i]) == [(k, 4096 * k, min(4096, n - 4096 * k)) for k in range(-(-n // 4096))]
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"_mark": F.lit(3), "_id": F.lit("x"), "id": F.lit(1), "component_id": F.lit(2)})
+    out = corpus_pipeline.jaccard_stage(spark, docs, sf)
+    assert out.columns == docs.columns and {r["_mark"] for r in out.select("_mark").distinct().collect()} == {3}
+
+
 def test_pipeline_stages(spark, sf, tmp_path):
     assert [k for k, _ in corpus_pipeline.STAGES] == ["quality_classifier", "quality_rules", "ngram_jaccard_join", "pattern_packing"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -126,6 +126,29 @@ def test_links_of_ambiguous_ids(spark):
     assert jaccard_join.linked(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 4)
+    rows = corpus(6, 90)
+    assert found(jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
+
+
+def test_without_bitmaps(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MOST_BITS", 1)
+    rows = corpus(7, 60)
+    got = jaccard_join.linked(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert links_found(got) == brute_links(rows) and found(got) == brute(rows)
+    assert jaccard_join._bits_for(1) == 0
+
+
+def test_components_that_do_not_end_are_an_error(spark, monkeypatch):
+    from strataql.llm import components as C
+
+    monkeypatch.setattr(C, "ROUNDS", 1)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    with pytest.raises(RuntimeError):
+        components(chain, Workspace(spark, "t"), "c")
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95)], "u long, v long").repartition(4)
     got = {r.id: r.component for r in components(chain, Workspace(spark, "t"), "c").collect()}
@@ -154,6 +177,16 @@ def test_top_k_equals_brute_force(spark):
     assert multi_index.search(df.filter("vec_id < 3"), F.lit(True), k=5).count() == 9
 
 
+def test_heavy_values_are_cut_and_the_index_is_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "LIST", 3)
+    rng = np.random.default_rng(1)
+    rows = [(i, [1.0] * 16 + [float(x) for x in rng.normal(size=48)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = multi_index.search(df, F.col("vec_id") % 30 == 0, k=4).collect()
+    want = [(i, j, d, k) for i, v in rows if i % 30 == 0 for k, (d, j) in enumerate(sorted((sum(a != b for a, b in zip(code(v), code(w), strict=True)), j) for j, w in rows)[:4], 1)]
+    assert sorted((r.vec_id, r.neighbor_id, r.distance, r["rank"]) for r in got) == sorted(want)
+
+
 def test_prefixes_of_linked_sets_share_enough():
     """The bound behind the join: sets that link share l shingles among their shortened prefixes, for any l up to both."""
     rng = np.random.default_rng(9)

@@ -81,7 +81,7 @@ def shard_of(texts, order):
     counter = T.KeyCounter()
     for keys, _, _ in T.grams(*T.byte_view(pa.array(texts)), order):
         counter.add(keys)
-    return M.Shard(0, 0xFFFF, *counter.take())
+    return M.Shard(M.Range(0, 0xFFFF), *counter.take())
 
 
 def ppm(texts, order):
@@ -147,6 +147,83 @@ def docs(spark, rows=ROWS):
     return spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit("clash"), "key": F.lit(1), "uid": F.lit(2)})
 
 
+def brute_kn(texts, order, context, symbol):
+    """Interpolated modified Kneser-Ney from its definition: raw counts on top, distinct bytes before below."""
+    grams = Counter()
+    for t in texts:
+        b = b"\xff" * order + t.encode() + b"\xff"
+        grams.update(b[i - order : i + 1] for i in range(order, len(b)))
+    levels = {order + 1: grams}
+    for k in range(order, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def probability(k, gram):
+        if not k:
+            return 1 / 256
+        n = Counter(levels[k].values())
+        if min(n[1], n[2], n[3], n[4]) > 0:
+            y = n[1] / (n[1] + 2 * n[2])
+            d = [0.0, *(min(max(i - (i + 1) * y * n[i + 1] / n[i], 0.05), i - 0.05) for i in (1, 2, 3))]
+        else:
+            d = [0.0, 0.5, 1.0, 1.5]
+        below = probability(k - 1, gram[1:])
+        after = {g[-1]: c for g, c in levels[k].items() if g[:-1] == gram[:-1]}
+        if not after:
+            return below
+        total = sum(after.values())
+        mine = after.get(gram[-1], 0)
+        return max(mine - d[min(mine, 3)], 0) / total + sum(d[min(c, 3)] for c in after.values()) / total * below
+
+    return probability(order + 1, context + bytes([symbol]))
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_kneser_ney_equals_the_definition(order):
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcde "), size=rng.integers(0, 30), p=[0.3, 0.25, 0.2, 0.1, 0.05, 0.1])) for _ in range(40)]
+    table = kn(texts, order)
+    for context in (b"abc", b"zzz", b"zab", b"\xff\xff\xff", b"de ", b"zza"):
+        context = context[-order:]
+        symbols = [*b"abcde z", 0xFF]
+        keys = np.array([int.from_bytes(context + bytes([x]), "big") for x in symbols], np.uint64)
+        assert np.allclose(np.exp(table.log(keys)), [brute_kn(texts, order, context, x) for x in symbols], rtol=1e-4)
+
+
+@pytest.mark.parametrize("distinct", [False, True])
+def test_a_hot_pair_of_bytes_is_divided(spark, distinct):
+    """Shards of any size give each gram the same probability, each by one shard alone."""
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abcd"), size=60)) + "ab" * 9 for _ in range(8)]
+    order = 4
+    whole = (kn if distinct else ppm)(texts, order)
+    counter = T.KeyCounter()
+    for keys, _, _ in T.grams(*T.byte_view(pa.array(texts)), order):
+        counter.add(keys)
+    keys, n = counter.take()
+    counts = spark.createDataFrame([(int(k), int(c)) for k, c in zip(keys, n, strict=True)], "key long, n long")
+    assert any(r.depth == 3 for r in M.shard_ranges(counts, 16, order))
+    strange = np.array([int.from_bytes(b, "big") for b in (b"zzabq", b"qzzzz", b"dcbaz", b"\xff\xff\xff\xffa")], np.uint64)
+    asked = np.concatenate([keys, strange])
+    met, got = np.zeros(len(asked), int), np.zeros(len(asked))
+    for table in (M.kn_shards if distinct else M.ppm_shards)(counts, order, 16):
+        own = table.range.own(asked)
+        met += own
+        got[own] = (table.log if distinct else table.log10)(asked[own])
+        assert sum(own[: len(keys)]) <= 16
+    assert (met == 1).all()
+    assert np.allclose(got, (whole.log if distinct else whole.log10)(asked), atol=1e-5)
+
+
+def test_quartiles_come_from_the_rows_alone(spark):
+    from strataql.llm.quality_rules import quartiles
+
+    cells = [("en", c, 1 + c % 3) for c in range(100)] + [(None, 7, 2)]
+    got = {r["of"]: r.q for r in quartiles(spark.createDataFrame(cells, "of string, cell long, n long")).collect()}
+    flat = sorted(c for _, c, n in cells[:100] for _ in range(n))
+    want = [flat[-(-len(flat) * k // 4) - 1] for k in (1, 2, 3)]
+    assert [round(x / 0.001 - 0.5) for x in got["en"]] == want and [round(x, 4) for x in got[None]] == [0.0075] * 3
+
+
 def test_lm_score_base_is_exact_and_shards_agree(spark):
     held = crc_mod("doc_id", 5) == 1
     got = lm_score(docs(spark), held, order=3).collect()

@@ -144,6 +144,27 @@ def test_warc_round_trip(spark, tmp_path, compress):
     assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_without_a_broadcast_and_by_size(spark, tmp_path, monkeypatch):
+    """Many repeated digests are joined by id; large payloads lie in files of few records."""
+    rows = [(i, "u", f"page {i % 7} " * (40 if i % 5 else 4000)) for i in range(60)] + [(None, "u", "page 3 " * 40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    both = []
+    for few in (warc.FEW, 0):
+        out = warc.records(pages, warc.Workspace(spark, "t"), few=few)[0]
+        both.append(sorted(r.value for r in out.collect()))
+    assert both[0] == both[1]
+    warc.write(pages, str(tmp_path / "w"), compress=False, file_rows=10, file_bytes=100_000)
+    for f in (tmp_path / "w").glob("part-*"):
+        n, size = f.read_bytes().count(b"WARC-Record-ID"), f.stat().st_size
+        assert n <= 10 and size < 140_000
+    assert warc.read(spark, str(tmp_path / "w")).filter("record_type != 'gap'").count() == 61
+
+
+def test_version_lines_without_headers_end_soon():
+    data = b"WARC/1.1\r\nx: y\r\n" * 60_000
+    assert read(data) == ([], [(0, len(data))])
+
+
 def record(n, body=b"payload " * 20):
     return b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Payload-Digest: sha256:%s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (n, hashlib.sha256(body).hexdigest().encode(), len(body), body)
 
