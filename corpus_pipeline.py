@@ -43,7 +43,10 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = jaccard_join.classes(docs)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.join(first, docs["doc_id"].eqNullSafe(first["_id"]), "left_semi")
-    return rows.withColumn("_mark", F.xxhash64("text")).dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    mark = "_mark"
+    while mark in docs.columns:
+        mark += "_"
+    return rows.withColumn(mark, F.xxhash64("text")).dropDuplicates(["doc_id", mark]).drop(mark)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
