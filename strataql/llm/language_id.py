@@ -113,11 +113,12 @@ def _k_means(x: np.ndarray, k: int) -> np.ndarray:
 def _sample(rows: DataFrame, max_rows: int) -> DataFrame:
     """Up to max_rows different rows (lang, id, h, text) of each language, by the smallest hash.
 
-    A threshold from the language's count leaves few rows before any of them moves; equal rows are
-    dropped first within their task, then between tasks.
+    A threshold from the language's number of different rows (a sketch's, a twentieth off at most, of a
+    margin of ``LOOK`` times) leaves few rows before any of them moves; equal rows are dropped first
+    within their task, then between tasks.
     """
     h = F.xxhash64("id", "text")
-    sizes = rows.groupBy("lang").count().withColumn("share", F.lit(float(LOOK * max_rows)) / F.col("count")).select("lang", "share")
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")).select("lang", (F.lit(float(LOOK * max_rows)) / F.col("n")).alias("share"))
     place = F.shiftrightunsigned(h, 11) / float(1 << 53)
     near = rows.withColumn("h", h).join(F.broadcast(sizes), "lang").filter(place < F.col("share")).select("lang", "id", "h", "text")
 

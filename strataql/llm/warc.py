@@ -39,7 +39,7 @@ VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
 EMPTY_MEMBER = zlib.compress(b"", wbits=31)
 FILE_ROWS, FILE_BYTES = 2000, 256 << 20
-HEAD_BYTES = 1 << 18
+HEAD_BYTES = 1 << 16
 #: repeated digests that are broadcast at most (about 100 bytes each)
 FEW = 500_000
 LEAST_REVISIT = 100
