@@ -3,11 +3,13 @@
 A document's set holds its distinct ``N``-word shingles; two documents link when their sets' Jaccard
 similarity is ``PERCENT`` hundredths or more, and a class is what links reach.
 
-Equal sets are classed by digest first. The others are sorted by frequency, ties by hash: shingles
-are counted over all documents, and the ``HOT`` most frequent have their counts; all others come
-first. With overlap t needed, two linked documents share at least l shingles among their first
+Equal sets are classed by digest first. The others are sorted by estimated frequency, ties by hash:
+shingles seen twice or more in a task, or in a sample of one document in ``SAMPLE``, are counted,
+and the ``HOT`` most frequent have estimates; all others come first. The estimate bears on cost alone:
+any one order of all documents' shingles finds every link. (Counting every shingle of all documents
+by a shuffle wrote 2.5 times the input, with what it spilled.) With overlap t needed, two linked documents share at least l shingles among their first
 n - t + l. Each document picks its own l from multiples of least_matches(n): a longer prefix meets
-more candidates, of which fewer share l shingles, and the cheaper total by frequencies wins. A pair
+more candidates, of which fewer share l shingles, and the cheaper total by these estimates wins. A pair
 must share the smaller l of its two. A shingle that one prefix alone holds is dropped after a single
 shuffle, and so is a document that shares too few with all others together. Where pairs are made,
 their two sizes shorten both prefixes further (the overlap needed by both), and the shingles that
@@ -48,6 +50,8 @@ PERCENT = 75
 HOT = 1 << 18
 #: an estimate from which a shingle's rows are dealt out over SALTS lists
 HEAVY, SALTS = 20_000, 64
+#: one document in SAMPLE has all its shingles counted for the order
+SAMPLE = 16
 #: multiples of least_matches(n) that l is chosen from
 STEPS = (1, 2, 3, 4)
 #: costs of a prefix row, of meeting a candidate in its list and of verifying one shingle, and the
@@ -101,42 +105,38 @@ def _digests(keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _first_pass(rows: DataFrame, n: int) -> DataFrame:
-    """id, size and digest of each row's set."""
+    """kind 0: id, size and digest of each row's set; kind 1: shingles seen twice or more in a task, and how often; kind 2: those of sampled rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, some = KeyCounter(1_000_000), KeyCounter(500_000)
+        names = ["kind", "id", "n", "d1", "d2"]
+
+        def counts_of(counter: KeyCounter, kind: int, least: int, id_type: pa.DataType) -> pa.RecordBatch:
+            keys, counts = counter.take()
+            keys, counts = keys[counts >= least], counts[counts >= least]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.nulls(len(keys), id_type), pa.array(counts), pa.array(keys.view(np.int64)), pa.array(np.zeros(len(keys), np.int64))], names=names)
+
+        id_type = None
         for batch in batches:
+            id_type = batch.column(0).type
             data, offs = byte_view(batch.column(1))
             for i, j in slices(offs):
                 keys, bounds = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)
+                seen.add(keys)
+                picked = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False)[i:j])
+                some.add(np.concatenate([keys[:0], *(keys[bounds[k] : bounds[k + 1]] for k in picked)]))
                 d1, d2 = _digests(keys, bounds)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2)], names=["id", "n", "d1", "d2"])
-
-    return rows.select("id", "text").mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, d1 long, d2 long")
-
-
-def _frequencies(rows: DataFrame, n: int) -> DataFrame:
-    """key and n of the ``HOT`` shingles that most rows have, counted over all rows; two rows at least."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = KeyCounter(1_000_000)
-        empty = True
-
-        def taken() -> pa.RecordBatch:
-            keys, counts = held.take()
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["key", "n"])
-
-        for batch in batches:
-            empty = False
-            data, offs = byte_view(batch.column(0))
-            for i, j in slices(offs):
-                held.add(shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], n)[0])
-                if held.full:
-                    yield taken()
-        if not empty:
-            yield taken()
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(j - i, np.int32)), batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), pa.array(d1), pa.array(d2)], names=names)
+                if seen.full:
+                    yield counts_of(seen, 1, 2, id_type)
+                if some.full:
+                    yield counts_of(some, 2, 1, id_type)
+        if id_type is not None:
+            yield counts_of(seen, 1, 2, id_type)
+            yield counts_of(some, 2, 1, id_type)
 
-    counts = rows.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    return counts.filter("n > 1").orderBy(F.desc("n"), "key").limit(HOT)
+    sampled = F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0
+    return rows.select("id", "text", sampled.alias("sampled")).mapInArrow(run, f"kind int, id {rows.schema['id'].dataType.simpleString()}, n long, d1 long, d2 long")
 
 
 def least_matches(n):
@@ -409,18 +409,21 @@ def _join(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, cou
     ws = Workspace(spark, "jaccard_join")
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = ws.write(_first_pass(rows, n), "first")
+    first = ws.write(_first_pass(rows, n), "first", ["kind"])
+    found = first.filter("kind = 0")
     names = None
     if _ambiguous(found):
         rows = ws.write(rows.withColumn("name", F.col("id")).withColumn("id", F.monotonically_increasing_id()), "rows")
         names = rows.select("id", "name")
         rows = rows.select("id", "text")
-        found = ws.write(_first_pass(rows, n), "first-of-rows")
+        first = ws.write(_first_pass(rows, n), "first-of-rows", ["kind"])
+        found = first.filter("kind = 0")
     bits = _bits_for(found.count())
     sets = found.filter("n > 0")
     of_set = ws.write(sets.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "sets")
-    top = _frequencies(rows, n).toArrow()
-    hot = tuple(top.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "n"))
+    told = first.filter("kind > 0").groupBy("d1", "kind").agg(F.sum("n").alias("n")).filter("n > 1").withColumn("n", F.when(F.col("kind") == 1, F.col("n")).otherwise(F.col("n") * SAMPLE))
+    top = told.groupBy("d1").agg(F.max("n").alias("n")).orderBy(F.desc("n"), "d1").limit(HOT).toArrow()
+    hot = tuple(top.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("d1", "n"))
     shared = spark.sparkContext.broadcast((hot[0].view(np.uint64), hot[1]))
     del top
     # one row of each set, as far as a bitmap can tell; a few copies do no harm
