@@ -12,8 +12,9 @@ n - t + l. Each document picks its own l from multiples of least_matches(n): a l
 more candidates, of which fewer share l shingles, and the cheaper total by these estimates wins. A pair
 must share the smaller l of its two. A shingle that one prefix alone holds is dropped after a single
 shuffle, and so is a document that shares too few with all others together. Where pairs are made,
-their two sizes shorten both prefixes further (the overlap needed by both), and the shingles that
-the two share there are counted, each pair's in one group.
+their two sizes shorten both prefixes further (the overlap needed by both). A pair is met first in its
+two shortest prefixes (l = 1), as one row for each shingle of the longer ones would be many more, and
+must then share its own l in those.
 
 What is left is verified on whole sets. As classes are wanted, pairs of large groups aren't all
 made: each document is first verified with one leader that shares most of its prefix, and then every
@@ -288,22 +289,26 @@ def _links(lists: DataFrame, sets: DataFrame, ws: Workspace, percent: int, bits:
     of = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}_class"))
     split = met.select("id", "lead").join(of("id"), "id", "left").join(of("lead"), "lead", "left").filter(F.coalesce("id_class", "id") != F.coalesce("lead_class", "lead")).select("id", "lead")
     left = lists.join(split, ["id", "lead"], "left_semi").select("token").union(lists.filter("heavy").select("token")).distinct()
-    lists = lists.join(left, "token", "left_semi").select("token", "id", "n", "need", "place")
+    lists = ws.write(lists.join(left, "token", "left_semi").select("token", "id", "n", "need", "place"), "lists-left")
     # then every pair of two classes that shares enough
-    rows = ws.write(lists.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "lists-left")
+    rows = ws.write(lists.join(found, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "lists-classed")
     mixed = rows.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count("*") / LIST_ROWS).alias("blocks")).filter("low < high").select("token", "blocks")
     rows = rows.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("id", "token"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select("token", "low", "high", "block", "id", "n", "need", "place", "c")
     a, b = rows.alias("a"), rows.alias("b")
     # Sizes a and b need an overlap of o, so l shingles are shared among the first a - o + l and b - o + l.
+    # Pairs are seeded with l = 1, the shortest prefixes, then must have their own l.
     need, overlap = F.least("a.need", "b.need"), F.ceil(percent * (F.col("a.n") + F.col("b.n")) / (100 + percent))
     same_list = (F.col("a.token") == F.col("b.token")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high"))
     once = (F.col("a.id") > F.col("b.id")) & ((F.col("a.low") == F.col("a.high")) | (F.col("a.block") != F.col("b.block")))
-    early = (F.col("a.place") < F.col("a.n") - overlap + need) & (F.col("b.place") < F.col("b.n") - overlap + need)
-    near = a.join(b, same_list & once & (F.col("a.c") != F.col("b.c")) & _long_enough("a.n", "b.n", percent) & early)
-    near = near.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), need.alias("need")).groupBy("u", "v", "need").agg(F.count("*").alias("shared"))
-    pairs = near.filter("shared >= need").select("u", "v")
+    seeds = (F.col("a.place") < F.col("a.n") - overlap + 1) & (F.col("b.place") < F.col("b.n") - overlap + 1)
+    near = a.join(b, same_list & once & (F.col("a.c") != F.col("b.c")) & _long_enough("a.n", "b.n", percent) & seeds)
+    near = near.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), need.alias("need"), (F.col("a.n") - overlap + need).alias("x"), (F.col("b.n") - overlap + need).alias("y")).distinct()
+    held = lists.groupBy("id").agg(F.collect_list(F.struct("place", "token")).alias("p"))
+    near = near.join(held.withColumnsRenamed({"id": "u", "p": "p"}), "u").join(held.withColumnsRenamed({"id": "v", "p": "q"}), "v")
+    early = lambda p, n: F.transform(F.filter(p, lambda t: t["place"] < F.col(n)), lambda t: t["token"])
+    pairs = near.filter(F.size(F.array_intersect(early("p", "x"), early("q", "y"))) >= F.col("need")).select("u", "v")
     before = tried.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     pairs = ws.write(pairs.join(before, ["u", "v"], "left_anti"), "pairs")
     ids = pairs.select("u").union(pairs.select("v"))
