@@ -1,4 +1,4 @@
-"""Date and time functions as Spark SQL: ISO texts, Julian days, epochs and literal modifiers."""
+"""Date and time functions as Spark SQL: ISO texts, Julian days, epochs and modifiers."""
 
 from __future__ import annotations
 
@@ -12,12 +12,10 @@ _MOVE = re.compile(r"([+-]?\d+(?:\.\d+)?)\s+(second|minute|hour|day|month|year)s
 _DAYS = {0: "SUNDAY", 1: "MONDAY", 2: "TUESDAY", 3: "WEDNESDAY", 4: "THURSDAY", 5: "FRIDAY", 6: "SATURDAY"}
 
 
-def _text_of(e: E) -> str:
-    """The text of a modifier, which must be a literal."""
+def _text_of(e: E) -> str | None:
+    """The text of a modifier, or None if rows make it."""
     m = re.fullmatch(r"'((?:[^'\\]|\\.)*)'", e.sql)
-    if not m:
-        raise SqlError("a date modifier must be a literal")
-    return m[1].replace("\\'", "'").replace("\\\\", "\\").strip().lower()
+    return m[1].replace("\\'", "'").replace("\\\\", "\\").strip().lower() if m else None
 
 
 def _from_julian(days: str) -> str:
@@ -28,7 +26,7 @@ def instant(args: list[E]) -> str:
     """A timestamp (UTC) from a time value and its modifiers."""
     if not args:
         return "current_timestamp()"
-    first, mods = args[0], [_text_of(a) for a in args[1:]]
+    first, mods = args[0], [_text_of(a) or a for a in args[1:]]
     if first.type == "ts":
         at = f"cast({first.sql} AS TIMESTAMP)"
     elif first.type in NUMBERS:
@@ -59,6 +57,9 @@ def instant(args: list[E]) -> str:
         at = f"CASE WHEN {whole} THEN {joined} WHEN {clock} THEN try_cast(concat('2000-01-01 ', {s}, CASE WHEN char_length({s}) = 5 THEN ':00' ELSE '' END, 'Z') AS TIMESTAMP) WHEN lower({s}) = 'now' THEN current_timestamp() WHEN {number} BETWEEN 0.0D AND 5373484.5D THEN {_from_julian(number)} END"
     floor = False
     for m in mods:
+        if isinstance(m, E):
+            at = _moved_by_row(at, f"lower(trim({as_text(m).sql}))", floor)
+            continue
         if m in ("subsec", "subsecond", "utc", "localtime", "ceiling"):
             continue
         if m == "floor":
@@ -68,6 +69,23 @@ def instant(args: list[E]) -> str:
     return at
 
 
+def _moved_by_row(at: str, m: str, floor: bool) -> str:
+    """A modifier that each row makes: amounts of a unit, starts, weekdays and clock times; NULL for any other."""
+    n = f"try_cast(regexp_extract({m}, '^([+-]?[0-9]+([.][0-9]+)?)[ ]+(second|minute|hour|day|month|year)s?$', 1) AS DOUBLE)"
+    unit = f"regexp_extract({m}, '^([+-]?[0-9]+([.][0-9]+)?)[ ]+(second|minute|hour|day|month|year)s?$', 3)"
+    seconds = f"cast({n} * CASE {unit} WHEN 'second' THEN 1 WHEN 'minute' THEN 60 WHEN 'hour' THEN 3600 ELSE 86400 END AS DECIMAL(18, 6))"
+    months = f"(cast({n} AS INT) * CASE {unit} WHEN 'year' THEN 12 ELSE 1 END)"
+    clock = "^([+-]?)([0-9]{2}):([0-9]{2})(:([0-9]{2}([.][0-9]+)?))?$"
+    part = lambda k: f"regexp_extract({m}, '{clock}', {k})"
+    told = f"cast((cast({part(2)} AS INT) * 3600 + cast({part(3)} AS INT) * 60 + coalesce(try_cast({part(5)} AS DOUBLE), 0)) * CASE {part(1)} WHEN '-' THEN -1 ELSE 1 END AS DECIMAL(18, 6))"
+    return (
+        f"CASE WHEN {unit} IN ('month', 'year') THEN {months_moved(at, months, floor)} WHEN {unit} <> '' THEN ({at} + make_dt_interval(0, 0, 0, {seconds})) "
+        + " ".join(f"WHEN {m} = 'start of {u}' THEN {_trunc(u.upper(), at)}" for u in ("day", "month", "year"))
+        + f" WHEN {m} RLIKE '^weekday [0-6]$' THEN ({at} + make_dt_interval(pmod(cast(substr({m}, 9) AS INT) - (dayofweek({at}) - 1), 7)))"
+        f" WHEN {m} RLIKE '{clock}' THEN ({at} + make_dt_interval(0, 0, 0, {told})) WHEN {m} IN ('subsec', 'subsecond', 'utc', 'localtime', 'ceiling', 'floor') THEN {at} END"
+    )
+
+
 def months_moved(at: str, months: str, floor: bool = False) -> str:
     """Months later; a day that the month lacks rolls over (or with floor is its last)."""
     if floor:

@@ -18,34 +18,76 @@ STOP_WORDS = frozenset(
 )
 
 _WORD = re.compile(r"[^\W_](?:[^\W_]|')*")
-#: first rule whose pattern ends the word decides; group "keep" is what stays, ``mend`` repairs the base
-_RULES = [
-    (re.compile(r"(?P<keep>.*ss)es$"), False),
-    (re.compile(r"(?P<keep>.{2,}i)es$"), False),
-    (re.compile(r"(?P<keep>.*(?:ss|us)|.{0,3})$", re.S), False),
-    (re.compile(r"(?P<keep>.*[sxzh])es$"), False),
-    (re.compile(r"(?P<keep>.*)s$"), False),
-    (re.compile(r"(?P<keep>.{3,}ee)d$"), False),
-    (re.compile(r"(?P<keep>.{3,})ing$"), True),
-    (re.compile(r"(?P<keep>.*ing)$"), False),
-    (re.compile(r"(?P<keep>.{3,})ed$"), True),
-    (re.compile(r"(?P<keep>.*ed)$"), False),
-    (re.compile(r"(?P<keep>.{4,})ly$"), False),
-    (re.compile(r"(?P<keep>.{4,})(?:ment|ness)$"), False),
-]
-_DOUBLED = re.compile(r"([^lsz])\1$")
-_CLOSED = re.compile(r"[b-df-hj-np-tv-xz][aeiouy][b-df-hj-np-tvz]$")
+#: endings of words, as in the public description of Porter's second English stemmer
+VOWELS, SIBILANTS, DOUBLES, NO_SHORT = "aeiouy", ("s", "x", "z", "ch", "sh"), {"bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt"}, "wxY"
+#: endings that go where they lie in the region R1 and STEM letters stay
+ENDINGS, STEM = ("ment", "ness", "ly"), 4
+# Words whose stems differ from the rules.
+IRREGULAR = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "atlas": "atlas", "bias": "bias", "lens": "lens"}
+
+
+def _region(word: str) -> int:
+    """Where R1 begins: after the first consonant that follows a vowel."""
+    return next((i + 1 for i in range(1, len(word)) if word[i - 1] in VOWELS and word[i] not in VOWELS), len(word))
+
+
+def _is_short(word: str) -> bool:
+    """A short word ends in a short syllable and has no R1."""
+    if _region(word) < len(word):
+        return False
+    if len(word) == 2:
+        return word[0] in VOWELS and word[1] not in VOWELS
+    return len(word) > 2 and word[-3] not in VOWELS and word[-2] in VOWELS and word[-1] not in VOWELS + NO_SHORT
+
+
+def _singular(word: str) -> str:
+    if word.endswith("sses"):
+        return word[:-2]
+    if word.endswith(("ies", "ied")):
+        return word[:-2] if len(word) > 4 else word[:-1]
+    if word.endswith("es") and word[:-2].endswith(SIBILANTS):
+        return word[:-2]
+    if word.endswith("s") and not word.endswith(("ss", "us")) and any(c in VOWELS for c in word[:-2]):
+        return word[:-1]
+    return word
+
+
+def _present(word: str) -> str:
+    for ending in ("eedly", "eed"):
+        if word.endswith(ending):
+            return word[: len(word) - len(ending)] + "ee" if len(word) - len(ending) >= _region(word) else word
+    for ending in ("ingly", "edly", "ing", "ed"):
+        base = word.removesuffix(ending)
+        if base != word:
+            if not any(c in VOWELS for c in base):
+                return word
+            if base.endswith(("at", "bl", "iz")) or _is_short(base):
+                return base + "e"
+            return base[:-1] if base[-2:] in DOUBLES else base
+    return word
 
 
 @lru_cache(100_000)
 def stem(word: str) -> str:
-    for pattern, mend in _RULES:
-        if m := pattern.match(word):
-            word = m["keep"]
-            if mend:
-                word = word[:-1] if _DOUBLED.search(word) else word + "e" if _CLOSED.search(word) else word
+    """Plural, past and participle endings and a final y by Porter's second stemmer (its steps 1a to 1c), and ``ENDINGS``.
+
+    Its other steps are left out, as the dialect keeps derived words apart (source stays whole); so an
+    e that a plural puts behind a sibilant goes with the plural.
+    """
+    if word in IRREGULAR:
+        return IRREGULAR[word]
+    if len(word) < 3:
+        return word
+    marked = "".join("Y" if c == "y" and (not i or word[i - 1] in VOWELS) else c for i, c in enumerate(word))
+    marked = _present(_singular(marked))
+    for ending in ENDINGS:
+        cut = len(marked) - len(ending)
+        if marked.endswith(ending) and cut >= max(STEM, _region(marked)):
+            marked = marked[:cut]
             break
-    return word[:-1] + "i" if len(word) >= 3 and word[-1] == "y" and word[-2] not in "aeiouy" else word
+    if marked.endswith(("y", "Y")) and len(marked) > 2 and marked[-2] not in VOWELS:
+        marked = marked[:-1] + "i"
+    return marked.lower()
 
 
 def tokens(text: str) -> list[tuple[str, int, int, int]]:

@@ -21,6 +21,11 @@ def fold(sql: str) -> str:
     return f"translate({sql}, '{UPPER}', '{LOWER}')"
 
 
+def lowered(text: str) -> str:
+    """The same of a text at hand."""
+    return text.translate(str.maketrans(UPPER, LOWER))
+
+
 def glob_regex(pattern: str) -> str:
     """An anchored Java pattern for a GLOB pattern."""
     out, i = "(?s)^", 0
@@ -214,7 +219,7 @@ def _json_element(e: E) -> str:
     if e.type == "json":
         return f"coalesce({e.sql}, 'null')"
     if e.type in NUMBERS:
-        return f"coalesce(cast({as_number(e).sql} AS STRING), 'null')"
+        return f"coalesce({_t(e)}, 'null')"
     s = _t(e)
     quoted = f"to_json(array({s}))"
     return f"CASE WHEN {s} IS NULL THEN 'null' ELSE substr({quoted}, 2, char_length({quoted}) - 2) END"
@@ -234,7 +239,7 @@ def _json_object(a: list[E]) -> E:
 
 def _json_extract(a: list[E]) -> E:
     if len(a) == 2:
-        return E(f"s_json_extract({_t(a[0])}, {_t(a[1])})", "text") if not _plain_path(a[1]) else E(f"get_json_object({_t(a[0])}, {a[1].sql})", "text")
+        return E(f"s_json_extract({_t(a[0])}, {_t(a[1])})", "text", "any") if not _plain_path(a[1]) else E(f"get_json_object({_t(a[0])}, {a[1].sql})", "text", "any")
     paths = ", ".join(_t(p) for p in a[1:])
     return E(f"s_json_extract_many({_t(a[0])}, array({paths}))", "json")
 
@@ -253,7 +258,7 @@ def _arrow(kind: str) -> Callable[[list[E]], E]:
         else:
             p = _t(a[1])
             path = f"CASE WHEN substr({p}, 1, 1) = '$' THEN {p} ELSE concat('$.\"', {p}, '\"') END"
-        return E(f"s_json_{'raw' if kind == 'json' else 'extract'}({_t(a[0])}, {path})", kind)
+        return E(f"s_json_{'raw' if kind == 'json' else 'extract'}({_t(a[0])}, {path})", kind, "" if kind == "json" else "any")
 
     return make
 
@@ -312,7 +317,7 @@ def _add(low: int, high: int, **made: Callable[[list[E]], E]) -> None:
 
 
 _add(1, 1, abs=_abs, length=_length, octet_length=lambda a: E(f"cast(octet_length({a[0].sql if a[0].type == 'blob' else _t(a[0])}) AS BIGINT)", "int"), lower=lambda a: E(fold(_t(a[0])), "text"), upper=lambda a: E(f"translate({_t(a[0])}, '{LOWER}', '{UPPER}')", "text"), hex=_hex, quote=_quote, typeof=_typeof, pg_typeof=_typeof, sign=_sign, unicode=lambda a: E(f"CASE WHEN {_t(a[0])} <> '' THEN cast(ascii({_t(a[0])}) AS BIGINT) END", "int"), soundex=lambda a: E(f"CASE WHEN {_t(a[0])} RLIKE '[A-Za-z]' THEN soundex(regexp_extract({_t(a[0])}, '[A-Za-z].*', 0)) ELSE '?000' END", "text"), zeroblob=lambda a: E(f"unhex(repeat('00', cast({as_int(a[0]).sql} AS INT)))", "blob"), likely=lambda a: a[0], unlikely=lambda a: a[0], unistr=_udf("s_unistr", "text", "t"), unistr_quote=_udf("s_unistr_quote", "text", "t"))
-_add(2, 2, likelihood=lambda a: a[0], instr=_instr, nullif=lambda a: E(f"nullif({as_value(a[0]).sql}, {as_value(a[1]).sql})", as_value(a[0]).type), ifnull=_choice(lambda p: f"coalesce({', '.join(p)})"), power=lambda a: _real(f"power({_r(a[0])}, {_r(a[1])})"), pow=lambda a: _real(f"power({_r(a[0])}, {_r(a[1])})"), mod=lambda a: E(f"try_mod({_r(a[0])}, {_r(a[1])})", "real"), atan2=lambda a: _real(f"atan2({_r(a[0])}, {_r(a[1])})"), like=lambda a: E(f"({_t(a[1])} ILIKE {_t(a[0])})", "bool"), glob=lambda a: E(f"s_glob({_t(a[0])}, {_t(a[1])})", "bool"))
+_add(2, 2, likelihood=lambda a: a[0], instr=_instr, nullif=lambda a: E(f"nullif({as_value(a[0]).sql}, {as_value(a[1]).sql})", as_value(a[0]).type), ifnull=_choice(lambda p: f"coalesce({', '.join(p)})"), power=lambda a: _real(f"power({_r(a[0])}, {_r(a[1])})"), pow=lambda a: _real(f"power({_r(a[0])}, {_r(a[1])})"), mod=lambda a: E(f"try_mod({_r(a[0])}, {_r(a[1])})", "real"), atan2=lambda a: _real(f"atan2({_r(a[0])}, {_r(a[1])})"), like=lambda a: E(f"({fold(_t(a[1]))} LIKE {fold(_t(a[0]))})", "bool"), glob=lambda a: E(f"s_glob({_t(a[0])}, {_t(a[1])})", "bool"))
 _add(1, MANY, concat=lambda a: E(f"concat_ws('', {', '.join(_t(x) for x in a)})", "text"), printf=_listed("s_printf", "text", 1), format=_listed("s_printf", "text", 1), char=lambda a: E("s_char(array(" + ", ".join(f"cast({as_int(x).sql} AS BIGINT)" for x in a) + "))", "text"))
 _add(2, MANY, concat_ws=lambda a: E(f"concat_ws({', '.join(_t(x) for x in a)})", "text"), coalesce=_choice(lambda p: f"coalesce({', '.join(p)})"), min=_extreme("least"), max=_extreme("greatest"), iif=_iif)
 FUNCTIONS["if"] = FUNCTIONS["iif"]
@@ -433,7 +438,19 @@ def _percentile(name: str, hundred: bool) -> Aggregate:
     return make
 
 
+def _by(name: str) -> Aggregate:
+    """The value where the keys are least or greatest, NULL being the least."""
+
+    def make(a: list[E], distinct: bool, order: str, where: str) -> E:
+        e = as_value(a[0])
+        keys = ", ".join(f"{k.sql} IS NOT NULL, {k.sql}" for k in map(as_value, a[1:]))
+        return E(f"{name}(struct({e.sql} AS v), struct({keys})).v", e.type, e.affinity)
+
+    return make
+
+
 AGGREGATES: dict[str, Aggregate] = {
+    "__first": lambda a, d, o, w: E(f"first({as_value(a[0]).sql})", as_value(a[0]).type, a[0].affinity), "__least_by": _by("min_by"), "__most_by": _by("max_by"),
     "count": _count, "sum": _simple("sum", None, as_number), "total": _total, "avg": _simple("avg", "real", as_number), "min": _simple("min"), "max": _simple("max"),
     "group_concat": _join, "string_agg": _join, "json_group_array": _json_group_array, "jsonb_group_array": _json_group_array, "json_group_object": _json_group_object, "jsonb_group_object": _json_group_object,
     "median": _simple("median", "real", as_real), "percentile": _percentile("percentile_cont", True), "percentile_cont": _percentile("percentile_cont", True), "percentile_disc": _percentile("percentile_disc", True),
@@ -487,7 +504,7 @@ def fold_array(name: str, rows: str, value: E, args: list[E], star: bool) -> E:
 
 # --- table functions ----------------------------------------------------------------------------
 
-_EACH = [("key", "text"), ("value", "text"), ("type", "text"), ("atom", "text"), ("id", "int"), ("parent", "int"), ("fullkey", "text"), ("path", "text")]
+_EACH = [("key", "dyn"), ("value", "dyn"), ("type", "text"), ("atom", "dyn"), ("id", "int"), ("parent", "int"), ("fullkey", "text"), ("path", "text")]
 
 
 def _each(name: str):
