@@ -1,7 +1,8 @@
 """The engine: dialect SQL in, DataFrames out.
 
 ``Engine(spark).register(name, df)`` makes a table known; ``sql(text, params)`` parses, rewrites and
-plans a SELECT, and Catalyst runs it. ``translate`` shows the Spark SQL.
+plans a SELECT, and Catalyst runs it. ``translate`` shows the Spark SQL. Statements that change a
+table give its new state under the same name, as a DataFrame, or the rows of RETURNING.
 """
 
 from __future__ import annotations
@@ -16,10 +17,13 @@ from pyspark.sql.functions import PandasUDFType, pandas_udf, udtf
 from .functions import registry
 from .functions.arrow import batch_udf
 from .operators.recursive import Recursion
-from .plans.emit import Columns, Emitter
+from .operators.statements import Rules, Statements
+from .plans.emit import Columns, Emitter, Scope
 from .plans.typed import E, as_value
+from .sql import nodes as N
 from .sql.lexer import statements
 from .sql.parser import parse
+from .sql.statements import Pragma, parse_statement
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _KINDS = {"tinyint": "int", "smallint": "int", "int": "int", "bigint": "int", "float": "real", "double": "real", "string": "text", "binary": "blob", "boolean": "bool", "timestamp": "ts", "timestamp_ntz": "ts", "date": "ts"}
@@ -36,6 +40,8 @@ def columns_of(df: DataFrame) -> Columns:
 class Engine:
     def __init__(self, spark: SparkSession):
         self.spark, self.tables = spark, {}
+        self.views: dict[str, tuple[N.Query, list[str] | None]] = {}
+        self.rules: dict[str, Rules] = {}
         if not getattr(spark, "_strataql_installed", False):
             registry.install(spark)
             spark.conf.set("spark.sql.cteRecursionLevelLimit", "1000")
@@ -85,16 +91,39 @@ class Engine:
         return self
 
     def columns(self, name: str) -> Columns | None:
+        if name.lower() in ("sqlite_master", "sqlite_schema"):
+            rows = [("table", t, t) for t in sorted(self.tables) if not t.startswith(("__", "sqlite_"))] + [("view", v, v) for v in sorted(self.views)]
+            df = self.spark.createDataFrame(rows, "type string, name string, tbl_name string")
+            df.createOrReplaceTempView(name)
+            return columns_of(df)
         got = self.tables.get(name.lower())
         if got is None and self.spark.catalog.tableExists(name):
             got = columns_of(self.spark.table(name))
         return got
 
+    def emitted(self, query: N.Query, params: Mapping[str, Any] | Sequence | None = None) -> str:
+        return Emitter(self.columns, Recursion(self.spark), params, self.views, self._pragma).query(query)[0]
+
+    def _pragma(self, name: str, argument: str | None) -> tuple[str, Columns]:
+        told = Statements(self)._pragma(Pragma(name, argument), None)
+        told.createOrReplaceTempView(f"pragma_{name}")
+        return f"pragma_{name}", columns_of(told)
+
+    def expression(self, x: N.Expr) -> str:
+        """The Spark SQL of an expression without columns, such as a default."""
+        return as_value(Emitter(self.columns).expr(x, Scope())).sql
+
+    def run(self, query: N.Query, params: Mapping[str, Any] | Sequence | None = None) -> DataFrame:
+        return self.spark.sql(self.emitted(query, params))
+
     def translate(self, text: str, params: Mapping[str, Any] | Sequence | None = None) -> str:
-        return Emitter(self.columns, Recursion(self.spark), params).query(parse(text))[0]
+        """The Spark SQL of a SELECT."""
+        return self.emitted(parse(text), params)
 
     def sql(self, text: str, params: Mapping[str, Any] | Sequence | None = None) -> DataFrame:
-        return self.spark.sql(self.translate(text, params))
+        """The rows of a SELECT, PRAGMA, EXPLAIN or RETURNING; the new state of a table that is changed."""
+        got = parse_statement(text)
+        return self.run(got, params) if isinstance(got, N.Query) else Statements(self).run(got, params)
 
     def script(self, text: str) -> list[DataFrame]:
         """The results of a script's statements, in order."""

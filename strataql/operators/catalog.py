@@ -6,9 +6,17 @@ DuckDB too and means the same, the second is None.
 
 from __future__ import annotations
 
+import re
+
 Q: dict[str, tuple[str, str | None]] = {}
 
 
+def _by_row(name: str, dialect: str, duck: str) -> None:
+    """A query of functions whose first text is each row's: it depends on a column, so nothing folds."""
+    given = re.sub(r"(\b(?!strftime\b)[a-z_0-9]+\(|strftime\('[^']*', )('(?:[^']|'')*')", r"\1iif(n_nationkey >= 0, \2, NULL)", dialect)
+    Q[name] = (f"{given} FROM nation", f"{duck} FROM nation")
+
+
 def _q(name: str, dialect: str, duck: str | None = "") -> None:
     Q[name] = (dialect, dialect if duck == "" else duck)
 
@@ -30,21 +38,21 @@ _q("order_limit_offset", "SELECT c_custkey, c_name FROM customer ORDER BY c_acct
 _q("limit_comma", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 5, 7", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 7 OFFSET 5")
 _q("limit_negative", "SELECT n_nationkey FROM nation ORDER BY 1 LIMIT -1", "SELECT n_nationkey FROM nation")
 _q("topn", "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 20")
-_q("nulls_order", "SELECT x FROM (VALUES (3), (NULL), (1)) AS t(x) ORDER BY x DESC NULLS FIRST LIMIT 2")
-_q("values_source", "SELECT column1 AS a, column2 AS b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL))", "SELECT col0 AS a, col1 AS b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL))")
-_q("constant_source", "SELECT 1 AS a, 'x' AS b, 2.5 AS c, NULL IS NULL AS d", "SELECT 1 AS a, 'x' AS b, 2.5::DOUBLE AS c, 1 AS d")
+_q("nulls_order", "SELECT c_custkey, nullif(c_nationkey, 3) AS x FROM customer ORDER BY x DESC NULLS FIRST, c_custkey LIMIT 20")
+_q("values_source", "SELECT n_name, column2 AS b FROM nation JOIN (VALUES (0, 'x'), (1, 'y'), (2, NULL)) ON n_regionkey = column1", "SELECT n_name, b FROM nation JOIN (VALUES (0, 'x'), (1, 'y'), (2, NULL)) AS v(k, b) ON n_regionkey = k")
+_q("constant_source", "SELECT n_nationkey, t.* FROM nation, (SELECT 1 AS a, 'x' AS b, 2.5 AS c, NULL IS NULL AS d) AS t", "SELECT n_nationkey, 1 AS a, 'x' AS b, 2.5::DOUBLE AS c, 1 AS d FROM nation")
 _q("from_subquery", "SELECT t.k, t.n FROM (SELECT n_regionkey, count(*) FROM nation GROUP BY 1) AS t(k, n) WHERE t.n > 1")
 _q("alias_in_where", "SELECT o_orderkey, o_totalprice / 1000.0 AS thousands FROM orders WHERE thousands > 400 ORDER BY thousands", "SELECT o_orderkey, o_totalprice / 1000.0 AS thousands FROM orders WHERE o_totalprice / 1000.0 > 400")
 _q("spatial_box", "SELECT c_custkey FROM customer WHERE c_acctbal BETWEEN 100.0 AND 900.0 AND c_nationkey BETWEEN 3 AND 9")
 
 # --- operators ----------------------------------------------------------------------------------
 _q("fn_int_div", "SELECT o_orderkey, o_orderkey / 7 AS q, o_orderkey % 7 AS r, o_orderkey / 0 AS z, 7.5 / 2 AS h FROM orders", "SELECT o_orderkey, o_orderkey // 7 AS q, o_orderkey % 7 AS r, NULL::BIGINT AS z, 7.5::DOUBLE / 2 AS h FROM orders")
-_q("op_overflow", "SELECT try.x + 1 AS a, n_nationkey * 2 AS b FROM nation, (SELECT 5 AS x) AS try", "SELECT 6 AS a, n_nationkey * 2 AS b FROM nation")
+_q("op_overflow", "SELECT n_nationkey, n_nationkey * 9223372036854775807 AS a, 9223372036854775807 + 1 AS b, n_nationkey + 2 AS c FROM nation", "SELECT n_nationkey, n_nationkey * 9223372036854775807::DOUBLE AS a, 9223372036854775808::DOUBLE AS b, n_nationkey + 2 AS c FROM nation")
 _q("op_concat", "SELECT c_custkey || '-' || c_mktsegment AS s, 'x' || NULL AS n FROM customer", "SELECT c_custkey::VARCHAR || '-' || c_mktsegment AS s, NULL AS n FROM customer")
 _q("op_bits", "SELECT n_nationkey, n_nationkey & 6 AS a, n_nationkey | 8 AS o, ~n_nationkey AS i, n_nationkey << 3 AS l, n_nationkey >> 1 AS r, 1 << 64 AS big, 8 << -2 AS back FROM nation", "SELECT n_nationkey, n_nationkey & 6 AS a, n_nationkey | 8 AS o, ~n_nationkey AS i, n_nationkey * 8 AS l, n_nationkey >> 1 AS r, 0 AS big, 2 AS back FROM nation")
-_q("op_compare_mixed", "SELECT count(*) AS n FROM customer WHERE c_custkey < 'abc' AND c_custkey = cast(c_custkey AS TEXT)", "SELECT count(*) AS n FROM customer")
-_q("op_is_distinct", "SELECT a.x IS b.x AS same, a.x IS NOT DISTINCT FROM b.x AS also, (a.x = b.x) IS TRUE AS t, (a.x = b.x) IS NOT FALSE AS f FROM (VALUES (1), (NULL)) AS a(x), (VALUES (1), (NULL)) AS b(x)", "SELECT (a.x IS NOT DISTINCT FROM b.x)::INT AS same, (a.x IS NOT DISTINCT FROM b.x)::INT AS also, coalesce(a.x = b.x, false)::INT AS t, coalesce(a.x = b.x, true)::INT AS f FROM (VALUES (1), (NULL)) AS a(x), (VALUES (1), (NULL)) AS b(x)")
-_q("op_kleene", "SELECT x AND y AS a, x OR y AS o, NOT x AS n FROM (VALUES (1), (0), (NULL)) AS p(x), (VALUES (1), (0), (NULL)) AS q(y)", "SELECT (x::BOOL AND y::BOOL)::INT AS a, (x::BOOL OR y::BOOL)::INT AS o, (NOT x::BOOL)::INT AS n FROM (VALUES (1), (0), (NULL)) AS p(x), (VALUES (1), (0), (NULL)) AS q(y)")
+_q("op_compare_mixed", "SELECT c_custkey, c_custkey < 'abc' AS a, c_custkey = cast(c_custkey AS TEXT) AS b, c_mktsegment > 5 AS c, cast(c_custkey AS TEXT) > 5 AS d, c_custkey > '5' AS e, c_custkey + 0 = '5' AS f, cast(c_nationkey AS TEXT) BETWEEN 1 AND '2' AS g, cast(c_custkey AS TEXT) IN (7, '8') AS h FROM customer", "SELECT c_custkey, 1 AS a, 1 AS b, (c_mktsegment > '5')::INT AS c, (c_custkey::VARCHAR > '5')::INT AS d, (c_custkey > 5)::INT AS e, 0 AS f, (c_nationkey::VARCHAR BETWEEN '1' AND '2')::INT AS g, (c_custkey IN (7, 8))::INT AS h FROM customer")
+_q("op_is_distinct", "SELECT a.n_nationkey AS i, b.n_nationkey AS j, nullif(a.n_regionkey, 1) IS nullif(b.n_regionkey, 2) AS same, nullif(a.n_regionkey, 1) IS NOT DISTINCT FROM nullif(b.n_regionkey, 2) AS also, (nullif(a.n_regionkey, 1) = b.n_regionkey) IS TRUE AS t, (nullif(a.n_regionkey, 1) = b.n_regionkey) IS NOT FALSE AS f FROM nation a, nation b", "SELECT a.n_nationkey AS i, b.n_nationkey AS j, (nullif(a.n_regionkey, 1) IS NOT DISTINCT FROM nullif(b.n_regionkey, 2))::INT AS same, (nullif(a.n_regionkey, 1) IS NOT DISTINCT FROM nullif(b.n_regionkey, 2))::INT AS also, coalesce(nullif(a.n_regionkey, 1) = b.n_regionkey, false)::INT AS t, coalesce(nullif(a.n_regionkey, 1) = b.n_regionkey, true)::INT AS f FROM nation a, nation b")
+_q("op_kleene", "SELECT n_nationkey, x AND y AS a, x OR y AS o, NOT x AS n FROM (SELECT n_nationkey, nullif(n_regionkey % 3, 2) AS x, nullif(n_nationkey % 3, 2) AS y FROM nation)", "SELECT n_nationkey, (x::BOOL AND y::BOOL)::INT AS a, (x::BOOL OR y::BOOL)::INT AS o, (NOT x::BOOL)::INT AS n FROM (SELECT n_nationkey, nullif(n_regionkey % 3, 2) AS x, nullif(n_nationkey % 3, 2) AS y FROM nation)")
 _q("op_collate", "SELECT count(*) AS n FROM region WHERE r_name COLLATE NOCASE = 'asia' OR 'x ' COLLATE RTRIM = 'y'", "SELECT count(*) AS n FROM region WHERE lower(r_name) = 'asia'")
 _q("fn_like_glob", "SELECT p_partkey FROM part WHERE p_name GLOB '*r?ng' OR p_name REGEXP '^b.*t$' OR p_name LIKE 'small\\_%' ESCAPE '\\'", "SELECT p_partkey FROM part WHERE p_name GLOB '*r?ng' OR regexp_matches(p_name, '^b.*t$')")
 _q("row_value_cmp", "SELECT n_nationkey FROM nation WHERE (n_regionkey, n_nationkey) > (2, 10) AND (n_regionkey, n_nationkey) <> (3, 3)")
@@ -56,18 +64,16 @@ _q("join_inner", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custk
 _q("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000")
 _q("join_right", "SELECT o_orderkey, c_custkey FROM orders RIGHT JOIN customer ON o_custkey = c_custkey AND o_totalprice > 450000")
 _q("join_full", "SELECT p_partkey, s_suppkey FROM part FULL JOIN supplier ON p_partkey = s_suppkey * 30")
-_q("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation WHERE n_nationkey < 4")
+_q("join_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 _q("join_comma", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey")
 _q("join_using", "SELECT k, a.v AS x, b.v AS y FROM (SELECT n_regionkey AS k, n_name AS v FROM nation) AS a JOIN (SELECT r_regionkey AS k, r_name AS v FROM region) AS b USING (k)")
 _q("join_natural", "SELECT * FROM (SELECT n_regionkey AS k, n_name FROM nation) AS a NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) AS b")
-_q("join_natural_full", "SELECT k, v, w FROM (VALUES (1, 'a'), (2, 'b')) AS x(k, v) NATURAL FULL JOIN (VALUES (2, 'c'), (3, 'd')) AS y(k, w)")
+_q("join_natural_full", "SELECT k, v, w FROM (SELECT n_regionkey + 2 AS k, min(n_name) AS v FROM nation GROUP BY 1) AS x NATURAL FULL JOIN (SELECT r_regionkey AS k, r_name AS w FROM region) AS y")
 _q("join_theta", "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey > b.n_regionkey")
 _q("join_range", "SELECT s_suppkey, p_partkey FROM supplier JOIN part ON p_retailprice BETWEEN s_acctbal AND s_acctbal + 5.0")
 _q("join_multi_key", "SELECT count(*) AS n FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber")
-_q("join_computed_key", "SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1 WHERE a.o_orderkey < 500")
-_q("join_self", "SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey WHERE a.c_mktsegment = b.c_mktsegment AND a.c_custkey < 50")
-_q("join_computed_key_all", "SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1")
-_q("join_self_all", "SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey WHERE a.c_mktsegment = b.c_mktsegment")
+_q("join_computed_key", "SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1")
+_q("join_self", "SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey WHERE a.c_mktsegment = b.c_mktsegment")
 _q("join_chain4", "SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN orders ON o_custkey = c_custkey GROUP BY r_name")
 _q("join_star", "SELECT s_name, p_brand, sum(l_quantity) AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey WHERE p_size < 5 GROUP BY 1, 2")
 _q("join_nested_parens", "SELECT count(*) AS n FROM region LEFT JOIN (nation JOIN customer ON c_nationkey = n_nationkey) ON n_regionkey = r_regionkey")
@@ -94,8 +100,8 @@ _q("agg_json_group", "SELECT n_regionkey, json_group_array(n_name ORDER BY n_nam
 _q("agg_bare_max", "SELECT o_custkey, max(o_totalprice) AS m, o_orderkey, o_orderstatus FROM orders GROUP BY o_custkey", "SELECT o_custkey, max(o_totalprice) AS m, arg_max(o_orderkey, o_totalprice) AS o_orderkey, arg_max(o_orderstatus, o_totalprice) AS o_orderstatus FROM orders GROUP BY o_custkey")
 _q("agg_bare_last_wins", "SELECT max(o_totalprice) AS hi, min(o_totalprice) AS lo, o_orderkey FROM orders", "SELECT max(o_totalprice) AS hi, min(o_totalprice) AS lo, arg_min(o_orderkey, o_totalprice) AS o_orderkey FROM orders")
 _q("agg_two_phase", "SELECT avg(n) AS a, max(n) AS m FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)")
-_q("agg_over_text", "SELECT sum(x) AS s, total(x) AS t FROM (VALUES ('5'), ('2abc'), ('z')) AS v(x)", "SELECT 7.0::DOUBLE AS s, 7.0::DOUBLE AS t")
-_q("agg_collate", "SELECT count(DISTINCT w COLLATE NOCASE) AS n FROM (VALUES ('a'), ('A'), ('b')) AS v(w)", "SELECT 2 AS n")
+_q("agg_over_text", "SELECT c_mktsegment, sum(c_custkey || 'abc') AS s, total(c_mktsegment) AS t FROM customer GROUP BY 1", "SELECT c_mktsegment, sum(c_custkey)::DOUBLE AS s, 0.0::DOUBLE AS t FROM customer GROUP BY 1")
+_q("agg_collate", "SELECT count(DISTINCT iif(c_custkey % 2, lower(c_mktsegment), c_mktsegment) COLLATE NOCASE) AS n FROM customer", "SELECT count(DISTINCT lower(c_mktsegment)) AS n FROM customer")
 
 # --- windows ------------------------------------------------------------------------------------
 _W = "PARTITION BY o_custkey ORDER BY o_orderkey"
@@ -123,14 +129,14 @@ _q("union_all", "SELECT n_regionkey AS k FROM nation UNION ALL SELECT r_regionke
 _q("union", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey + 3 FROM region")
 _q("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 _q("except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
-_q("setop_left_assoc", "SELECT 1 AS x UNION SELECT 2 INTERSECT SELECT 2 UNION ALL SELECT 9 EXCEPT SELECT 9", "SELECT 2 AS x")
-_q("setop_mixed_types", "SELECT 1 AS x UNION ALL SELECT 2.5 ORDER BY x", "SELECT 1.0::DOUBLE AS x UNION ALL SELECT 2.5")
+_q("setop_left_assoc", "SELECT n_regionkey AS x FROM nation UNION SELECT r_regionkey + 2 FROM region INTERSECT SELECT r_regionkey + 1 FROM region UNION ALL SELECT n_nationkey FROM nation EXCEPT SELECT r_regionkey FROM region WHERE r_regionkey < 2", "(((SELECT n_regionkey AS x FROM nation UNION SELECT r_regionkey + 2 FROM region) INTERSECT SELECT r_regionkey + 1 FROM region) UNION ALL SELECT n_nationkey FROM nation) EXCEPT SELECT r_regionkey FROM region WHERE r_regionkey < 2")
+_q("setop_mixed_types", "SELECT n_nationkey AS x FROM nation UNION ALL SELECT c_acctbal FROM customer")
 _q("setop_order", "SELECT n_name AS x FROM nation UNION SELECT r_name FROM region ORDER BY x DESC LIMIT 5")
 _q("cte", "WITH big AS MATERIALIZED (SELECT * FROM orders WHERE o_totalprice > 300000), per AS (SELECT o_custkey, count(*) AS n FROM big GROUP BY 1) SELECT * FROM per WHERE n > 1", "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 300000), per AS (SELECT o_custkey, count(*) AS n FROM big GROUP BY 1) SELECT * FROM per WHERE n > 1")
 _q("cte_nested", "WITH a(x) AS (SELECT n_regionkey FROM nation) SELECT x, (WITH b AS (SELECT 2 AS y) SELECT y FROM b) AS y FROM (WITH c AS (SELECT x FROM a WHERE x > 1) SELECT DISTINCT x FROM c)", "SELECT DISTINCT n_regionkey AS x, 2 AS y FROM nation WHERE n_regionkey > 1")
-_q("cte_recursive", "WITH RECURSIVE c(x) AS (SELECT 1 UNION ALL SELECT x + 1 FROM c WHERE x < 60) SELECT x, x * x AS y FROM c")
-_q("cte_recursive_union", "WITH RECURSIVE c(x) AS (SELECT 1 UNION SELECT x * 3 % 17 FROM c) SELECT x FROM c")
-_q("cte_recursive_limit", "WITH RECURSIVE c(x) AS (SELECT 1 UNION ALL SELECT x + 2 FROM c LIMIT 6) SELECT x FROM c", "SELECT * FROM (VALUES (1), (3), (5), (7), (9), (11)) AS c(x)")
+_q("cte_recursive", "WITH RECURSIVE c(k, d) AS (SELECT p_partkey, 0 FROM part UNION ALL SELECT k / 2, d + 1 FROM c WHERE k > 0) SELECT k, d, count(*) AS n FROM c GROUP BY k, d", "WITH RECURSIVE c(k, d) AS (SELECT p_partkey, 0 FROM part UNION ALL SELECT k // 2, d + 1 FROM c WHERE k > 0) SELECT k, d, count(*) AS n FROM c GROUP BY k, d")
+_q("cte_recursive_union", "WITH RECURSIVE r(x) AS (SELECT n_nationkey FROM nation WHERE n_regionkey = 0 UNION SELECT b.n_nationkey FROM r JOIN nation b ON b.n_regionkey = r.x % 5) SELECT x FROM r")
+_q("cte_recursive_limit", "WITH RECURSIVE c(x) AS (SELECT max(c_custkey) FROM customer UNION ALL SELECT x + 2 FROM c LIMIT 6) SELECT x FROM c", "SELECT max(c_custkey) + 2 * i AS x FROM customer, range(6) AS r(i) GROUP BY i")
 _q("cte_recursive_priority", "WITH RECURSIVE t(n, d) AS (SELECT 1, 0 UNION ALL SELECT n * 2 + k.i, d + 1 FROM t, (VALUES (0), (1)) AS k(i) WHERE d < 3 ORDER BY 2 DESC LIMIT 9) SELECT n, d FROM t", "SELECT * FROM (VALUES (1, 0), (2, 1), (4, 2), (8, 3), (9, 3), (5, 2), (10, 3), (11, 3), (3, 1)) AS t(n, d)")
 
 # --- subqueries ---------------------------------------------------------------------------------
@@ -143,37 +149,46 @@ _q("in_corr", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT s_nat
 _q("skip_level_corr", "SELECT c_custkey FROM customer w WHERE EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = w.c_custkey AND EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = w.c_nationkey AND s.s_suppkey < b.o_orderkey))")
 _q("agg_promoted", "SELECT n_regionkey, (SELECT sum(n_nationkey)) AS s, (SELECT count(*) + 1) AS n FROM nation GROUP BY 1", "SELECT n_regionkey, sum(n_nationkey)::BIGINT AS s, count(*) + 1 AS n FROM nation GROUP BY 1")
 
+_q("scalar_corr_expression", "SELECT a.o_orderkey, (SELECT b.o_totalprice FROM orders b WHERE b.o_orderkey = a.o_orderkey + 1) AS next FROM orders a", "SELECT a.o_orderkey, b.o_totalprice AS next FROM orders a LEFT JOIN orders b ON b.o_orderkey = a.o_orderkey + 1")
+_q("scalar_corr_ordered", "SELECT c_custkey, (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 1) AS top FROM customer", "SELECT c_custkey, top FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS top FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+_q("in_as_value", "SELECT n_nationkey, n_regionkey IN (SELECT nullif(r_regionkey, 2) FROM region WHERE r_regionkey < 3) AS i, n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_regionkey < 3) AS o, n_regionkey IN (SELECT r_regionkey FROM region WHERE r_regionkey > 9) AS e FROM nation", "SELECT n_nationkey, CASE WHEN n_regionkey < 2 THEN 1 END AS i, (n_regionkey >= 3)::INT AS o, 0 AS e FROM nation")
+_q("distinct_order_expr", "SELECT DISTINCT c_mktsegment FROM customer ORDER BY length(c_mktsegment), c_mktsegment LIMIT 3")
+_q("real_text", "SELECT l_orderkey, l_linenumber, l_extendedprice || '' AS p, cast(l_quantity * 1e17 AS TEXT) AS big, quote(l_quantity / 1e6) AS small, cast(2.0 * l_quantity / 3 AS TEXT) = cast(2.0 * l_quantity / 3 AS TEXT) AS same FROM lineitem WHERE l_quantity < 10", "SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice = floor(l_extendedprice) THEN printf('%.1f', l_extendedprice) ELSE l_extendedprice::VARCHAR END AS p, l_quantity::INT || '.0e+17' AS big, l_quantity::INT || '.0e-06' AS small, 1 AS same FROM lineitem WHERE l_quantity < 10")
+_q("cast_clamped", "SELECT c_custkey, cast(c_acctbal * 1e30 AS INTEGER) AS a FROM customer", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 9223372036854775807 WHEN c_acctbal < 0 THEN -9223372036854775808 ELSE 0 END AS a FROM customer")
+_q("like_ascii", "SELECT n_nationkey, 'É' || n_name LIKE 'é%' AS a, 'É' || n_name LIKE 'É' || lower(n_name) AS b FROM nation", "SELECT n_nationkey, 0 AS a, 1 AS b FROM nation")
+_q("fn_date_by_row", "SELECT o_orderkey, date(o_orderdate, (o_custkey % 40) || ' days') AS d, date(o_orderdate, 'start of month', '-' || (o_custkey % 5) || ' months') AS m FROM orders", "SELECT o_orderkey, strftime(o_orderdate + INTERVAL 1 DAY * (o_custkey % 40), '%Y-%m-%d') AS d, strftime(date_trunc('month', o_orderdate) - INTERVAL 1 MONTH * (o_custkey % 5), '%Y-%m-%d') AS m FROM orders")
+
 # --- functions ----------------------------------------------------------------------------------
 _q("fn_text", "SELECT p_partkey, length(p_name) AS l, upper(p_name) AS u, lower(p_type) AS d, trim('  ' || p_name || ' ') AS t, ltrim(p_name, 'br') AS lt, replace(p_name, ' ', '_') AS r, instr(p_name, 'i') AS i, concat(p_name, NULL, p_size) AS c, concat_ws('-', p_brand, NULL, p_size) AS w FROM part", "SELECT p_partkey, length(p_name) AS l, upper(p_name) AS u, lower(p_type) AS d, p_name AS t, ltrim(p_name, 'br') AS lt, replace(p_name, ' ', '_') AS r, instr(p_name, 'i') AS i, p_name || p_size AS c, p_brand || '-' || p_size AS w FROM part")
-_q("fn_substr_edge", "SELECT substr('hello', 0, 2) AS a, substr('hello', -3, 2) AS b, substr('hello', 3, -2) AS c, substr('hello', 2) AS d, substr('hello', -9, 6) AS e", "SELECT 'h' AS a, 'll' AS b, 'he' AS c, 'ello' AS d, 'he' AS e")
+_q("fn_substr_edge", "SELECT p_partkey, substr(p_name, 0, 2) AS a, substr(p_name, -3, 2) AS b, substr(p_name, 3, -2) AS c, substr(p_name, 2) AS d, substr(p_name, -99, 100) AS e FROM part", "SELECT p_partkey, left(p_name, 1) AS a, left(right(p_name, 3), 2) AS b, left(p_name, 2) AS c, substr(p_name, 2) AS d, p_name AS e FROM part")
 _q("fn_math", "SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity), 6) AS s, floor(l_extendedprice) AS f, ceil(l_extendedprice) AS c, abs(-l_linenumber) AS a, round(power(l_quantity, 2), 3) AS p, sign(-l_quantity) AS g, round(ln(l_quantity), 6) AS n, round(log(100 + l_quantity), 6) AS l, mod(l_linenumber, 3) AS m FROM lineitem", "SELECT l_orderkey, l_linenumber, round(sqrt(l_quantity), 6) AS s, floor(l_extendedprice) AS f, ceil(l_extendedprice) AS c, l_linenumber AS a, round(l_quantity * l_quantity, 3) AS p, -1 AS g, round(ln(l_quantity), 6) AS n, round(log10(100 + l_quantity), 6) AS l, (l_linenumber % 3)::DOUBLE AS m FROM lineitem")
 _q("fn_trig", "SELECT n_nationkey, round(sin(n_nationkey), 9) AS s, round(cos(n_nationkey), 9) AS c, round(atan2(n_nationkey, 3), 9) AS a, round(degrees(n_nationkey), 6) AS d, round(pi(), 9) AS p, acos(2.0) AS bad FROM nation", "SELECT n_nationkey, round(sin(n_nationkey), 9) AS s, round(cos(n_nationkey), 9) AS c, round(atan2(n_nationkey, 3), 9) AS a, round(degrees(n_nationkey), 6) AS d, round(pi(), 9) AS p, NULL::DOUBLE AS bad FROM nation")
-_q("fn_round", "SELECT round(2.5) AS a, round(-2.5) AS b, round(0.285, 2) AS c, round(1234.5678, 2) AS d, trunc(-1.7) AS e", "SELECT 3.0::DOUBLE AS a, -3.0::DOUBLE AS b, 0.28::DOUBLE AS c, 1234.57::DOUBLE AS d, -1.0::DOUBLE AS e")
+_q("fn_round", "SELECT l_orderkey, l_linenumber, round(l_quantity / 4) AS a, round(-l_quantity / 4) AS b, round(l_quantity / 8, 2) AS c, trunc(-l_quantity / 4) AS d FROM lineitem", "SELECT l_orderkey, l_linenumber, round(l_quantity / 4) AS a, round(-l_quantity / 4) AS b, round(l_quantity / 8, 2) AS c, trunc(-l_quantity / 4) AS d FROM lineitem")
 _q("fn_null_choice", "SELECT coalesce(NULL, c_acctbal) AS a, ifnull(NULL, 5) AS b, nullif(c_custkey, 3) AS c, iif(c_acctbal > 0, 'pos', 'neg') AS d, min(c_custkey, 10) AS e, max(c_custkey, NULL) AS f FROM customer", "SELECT c_acctbal AS a, 5 AS b, nullif(c_custkey, 3) AS c, CASE WHEN c_acctbal > 0 THEN 'pos' ELSE 'neg' END AS d, least(c_custkey, 10) AS e, NULL::BIGINT AS f FROM customer")
 _q("fn_hex_quote", "SELECT hex(n_name) AS h, quote(n_name || '''') AS q, typeof(n_nationkey) AS t, typeof(1.5) AS r, unicode('é') AS u, char(233, 8364) AS c, octet_length('é') AS o FROM nation", "SELECT hex(encode(n_name)) AS h, '''' || n_name || '''''''' AS q, 'integer' AS t, 'real' AS r, 233 AS u, 'é€' AS c, 2 AS o FROM nation")
-_q("fn_printf", "SELECT printf('%05d|%-6s|%.2f|%x|%,d|%%|%q', n_nationkey, n_name, 2.5, 255, 1234567, 'it''s') AS p FROM nation WHERE n_nationkey < 9", "SELECT '0000' || n_nationkey || '|' || n_name || '|2.50|ff|1,234,567|%|it''''s' AS p FROM nation WHERE n_nationkey < 9")
-_q("fn_soundex", "SELECT soundex('Robert') AS a, soundex('Rupert') AS b, soundex('123') AS c", "SELECT 'R163' AS a, 'R163' AS b, '?000' AS c")
-_q("fn_cast_prefix", "SELECT cast('12abc' AS INTEGER) AS a, cast('x' AS INTEGER) AS b, cast('3.7e1z' AS REAL) AS c, cast(5.9 AS INTEGER) AS d, cast(7 AS TEXT) AS e, cast('yes' AS BOOLEAN) AS f, '10' + '5' AS g", "SELECT 12 AS a, 0 AS b, 37.0::DOUBLE AS c, 5 AS d, '7' AS e, 1 AS f, 15.0::DOUBLE AS g")
+_q("fn_printf", "SELECT printf('%05d|%-6s|%.2f|%x|%,d|%%|%q', n_nationkey, n_name, 2.5, 255, 1234567, 'it''s') AS p FROM nation", "SELECT lpad(n_nationkey::VARCHAR, 5, '0') || '|' || rpad(n_name, greatest(length(n_name), 6), ' ') || '|2.50|ff|1,234,567|%|it''''s' AS p FROM nation")
+_by_row("fn_soundex", "SELECT soundex('Robert') AS a, soundex('Rupert') AS b, soundex('123') AS c", "SELECT 'R163' AS a, 'R163' AS b, '?000' AS c")
+_by_row("fn_cast_prefix", "SELECT cast('12abc' AS INTEGER) AS a, cast('x' AS INTEGER) AS b, cast('3.7e1z' AS REAL) AS c, cast(5.9 AS INTEGER) AS d, cast(7 AS TEXT) AS e, cast('yes' AS BOOLEAN) AS f, '10' + '5' AS g", "SELECT 12 AS a, 0 AS b, 37.0::DOUBLE AS c, 5 AS d, '7' AS e, 1 AS f, 15.0::DOUBLE AS g")
 _q("fn_date_parts", "SELECT o_orderkey, date(o_orderdate) AS d, time(o_orderdate) AS t, strftime('%Y-%m %j %H:%M:%S %w', o_orderdate) AS f, unixepoch(o_orderdate) AS u FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%H:%M:%S') AS t, strftime(o_orderdate, '%Y-%m %j %H:%M:%S %w') AS f, epoch(o_orderdate)::BIGINT AS u FROM orders")
-_q("fn_date_modifiers", "SELECT date('2024-01-31', '+1 month') AS a, date('2024-03-15', 'start of month', '-1 day') AS b, datetime('2024-02-28 23:30', '+45 minutes') AS c, date('2024-03-05', 'weekday 1') AS d, date('2024-02-31') AS e, date('nonsense') AS f, datetime(0, 'unixepoch') AS g, julianday('2000-01-01 12:00') AS h, date('2023-02-29', '+1 year') AS i", "SELECT '2024-03-02' AS a, '2024-02-29' AS b, '2024-02-29 00:15:00' AS c, '2024-03-11' AS d, '2024-03-02' AS e, NULL AS f, '1970-01-01 00:00:00' AS g, 2451545.0::DOUBLE AS h, '2024-03-01' AS i")
-_q("fn_strftime", "SELECT strftime('%e|%f|%I %p|%k|%l|%u|%U|%W|%V|%G|%g|%R|%T|%s|%J', '2024-03-05 15:04:05.678') AS a, strftime('%Q', '2024-03-05') AS b", "SELECT ' 5|05.678|03 PM|15| 3|2|09|10|10|2024|24|15:04|15:04:05|1709651045|' || '2460375.127843495' AS a, NULL AS b")
-_q("fn_timediff", "SELECT timediff('2024-03-05 12:00', '2023-01-02 13:30') AS a, timediff('2023-01-02', '2024-03-05') AS b", "SELECT '+0001-02-02 22:30:00.000' AS a, '-0001-02-03 00:00:00.000' AS b")
+_by_row("fn_date_modifiers", "SELECT date('2024-01-31', '+1 month') AS a, date('2024-03-15', 'start of month', '-1 day') AS b, datetime('2024-02-28 23:30', '+45 minutes') AS c, date('2024-03-05', 'weekday 1') AS d, date('2024-02-31') AS e, date('nonsense') AS f, datetime(0, 'unixepoch') AS g, julianday('2000-01-01 12:00') AS h, date('2023-02-29', '+1 year') AS i", "SELECT '2024-03-02' AS a, '2024-02-29' AS b, '2024-02-29 00:15:00' AS c, '2024-03-11' AS d, '2024-03-02' AS e, NULL AS f, '1970-01-01 00:00:00' AS g, 2451545.0::DOUBLE AS h, '2024-03-01' AS i")
+_by_row("fn_strftime", "SELECT strftime('%e|%f|%I %p|%k|%l|%u|%U|%W|%V|%G|%g|%R|%T|%s|%J', '2024-03-05 15:04:05.678') AS a, strftime('%Q', '2024-03-05') AS b", "SELECT ' 5|05.678|03 PM|15| 3|2|09|10|10|2024|24|15:04|15:04:05|1709651045|' || '2460375.127843495' AS a, NULL AS b")
+_by_row("fn_timediff", "SELECT timediff('2024-03-05 12:00', '2023-01-02 13:30') AS a, timediff('2023-01-02', '2024-03-05') AS b", "SELECT '+0001-02-02 22:30:00.000' AS a, '-0001-02-03 00:00:00.000' AS b")
 _q("fn_date_tumbling", "SELECT strftime('%Y-%m-%d %H:00', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2", "SELECT strftime(ts, '%Y-%m-%d %H:00') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2")
 _q("fn_json_extract", "SELECT event_id, json_extract(props, '$.k') AS k, props ->> '$.k' AS t, json_type(props, '$.k') AS y, json_valid(props) AS v FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.k') AS t, 'integer' AS y, 1 AS v FROM events")
-_q("fn_json_edit", "SELECT json_set('{\"a\":1,\"b\":[1,2]}', '$.b[#]', 3, '$.c.d', 'x') AS a, json_remove('{\"a\":1,\"b\":[1,2]}', '$.b[0]') AS b, json_patch('{\"a\":1,\"b\":2}', '{\"a\":null,\"c\":3}') AS c, json_array_length('[1,2,3]') AS d, json('{ \"x\" : 1.50 }') AS e", """SELECT '{"a":1,"b":[1,2,3],"c":{"d":"x"}}' AS a, '{"a":1,"b":[2]}' AS b, '{"b":2,"c":3}' AS c, 3 AS d, '{"x":1.50}' AS e""")
+_by_row("fn_json_edit", "SELECT json_set('{\"a\":1,\"b\":[1,2]}', '$.b[#]', 3, '$.c.d', 'x') AS a, json_remove('{\"a\":1,\"b\":[1,2]}', '$.b[0]') AS b, json_patch('{\"a\":1,\"b\":2}', '{\"a\":null,\"c\":3}') AS c, json_array_length('[1,2,3]') AS d, json('{ \"x\" : 1.50 }') AS e", """SELECT '{"a":1,"b":[1,2,3],"c":{"d":"x"}}' AS a, '{"a":1,"b":[2]}' AS b, '{"b":2,"c":3}' AS c, 3 AS d, '{"x":1.50}' AS e""")
 _q("fn_json_build", "SELECT json_object('k', n_nationkey, 'n', n_name, 'a', json_array(1, 2.5, NULL, 'q')) AS j, json_quote('a\"b') AS q FROM nation", """SELECT '{"k":' || n_nationkey || ',"n":"' || n_name || '","a":[1,2.5,null,"q"]}' AS j, '"a\\"b"' AS q FROM nation""")
 _q("fn_json_each", "SELECT n_nationkey, je.key AS k, je.value AS v FROM nation, json_each(json_array(n_nationkey, n_name)) AS je", "SELECT n_nationkey, k, v FROM (SELECT n_nationkey, '0' AS k, n_nationkey::VARCHAR AS v FROM nation UNION ALL SELECT n_nationkey, '1', n_name FROM nation)")
-_q("fn_json_tree", "SELECT fullkey, type, atom FROM json_tree('{\"a\":[1,{\"b\":null}]}')", "SELECT * FROM (VALUES ('$', 'object', NULL), ('$.a', 'array', NULL), ('$.a[0]', 'integer', '1'), ('$.a[1]', 'object', NULL), ('$.a[1].b', 'null', NULL)) AS t(fullkey, type, atom)")
-_q("fn_generate_series", "SELECT value FROM generate_series(1, 9, 2)", "SELECT unnest(generate_series(1, 9, 2)) AS value")
+_q("fn_json_tree", "SELECT n_nationkey, fullkey, type, atom FROM nation, json_tree(json_object('a', json_array(n_nationkey, n_name)))", "SELECT n_nationkey, fullkey, type, atom FROM nation, LATERAL (VALUES ('$', 'object', NULL), ('$.a', 'array', NULL), ('$.a[0]', 'integer', n_nationkey::VARCHAR), ('$.a[1]', 'text', n_name)) AS t(fullkey, type, atom)")
+_q("fn_generate_series", "SELECT r_regionkey, value FROM region, generate_series(1, r_regionkey + 5, 2)", "SELECT r_regionkey, unnest(generate_series(1, r_regionkey + 5, 2)) AS value FROM region")
 _q("fn_regex", "SELECT p_partkey, regexp_like(p_name, '^R', 'i') AS l, regexp_replace(p_name, '[aeiou]', '<\\&>') AS f, regexp_replace(p_name, '[aeiou]', '', 'g') AS g, regexp_substr(p_name, '[a-z]+', 1, 2) AS s, regexp_count(p_name, 'e') AS c, regexp_instr(p_name, ' ') AS i FROM part", "SELECT p_partkey, regexp_matches(p_name, '^r', 'i')::INT AS l, regexp_replace(p_name, '([aeiou])', '<\\1>') AS f, regexp_replace(p_name, '[aeiou]', '', 'g') AS g, string_split(p_name, ' ')[2] AS s, len(regexp_extract_all(p_name, 'e')) AS c, instr(p_name, ' ') AS i FROM part")
-_q("fn_trigram", "SELECT similarity('word', 'two words') AS a, similarity('', '') AS b, similarity('abc', 'abc') AS c, show_trgm('cat') AS d, word_similarity('word', 'two words') AS e", "SELECT 4.0::DOUBLE / 11 AS a, 1.0::DOUBLE AS b, 1.0::DOUBLE AS c, '{\"  c\",\" ca\",\"at \",\"cat\"}' AS d, 4.0::DOUBLE / 7 AS e")
+_by_row("fn_trigram", "SELECT similarity('word', 'two words') AS a, similarity('', '') AS b, similarity('abc', 'abc') AS c, show_trgm('cat') AS d, word_similarity('word', 'two words') AS e", "SELECT 4.0::DOUBLE / 11 AS a, 1.0::DOUBLE AS b, 1.0::DOUBLE AS c, '{\"  c\",\" ca\",\"at \",\"cat\"}' AS d, 4.0::DOUBLE / 7 AS e")
 _q("fn_typeof", "SELECT typeof(o_orderkey) AS a, typeof(o_totalprice) AS b, typeof(o_orderstatus) AS c, typeof(NULL) AS d FROM orders LIMIT 3", "SELECT 'integer' AS a, 'real' AS b, 'text' AS c, 'null' AS d FROM range(3)")
-_q("fn_hash_unistr", "SELECT hex(sha3('abc')) AS h, unistr('a\\00e9b') AS u, hex(zeroblob(3)) AS z", "SELECT '3A985DA74FE225B2045C172D6BD390BD855F086E3E9D525B46BFE24511431532' AS h, 'aéb' AS u, '000000' AS z")
+_by_row("fn_hash_unistr", "SELECT hex(sha3('abc')) AS h, unistr('a\\00e9b') AS u, hex(zeroblob(3)) AS z", "SELECT '3A985DA74FE225B2045C172D6BD390BD855F086E3E9D525B46BFE24511431532' AS h, 'aéb' AS u, '000000' AS z")
 
 # --- full text ----------------------------------------------------------------------------------
 _q("fts_match", "SELECT p_partkey FROM part WHERE to_tsvector('simple', p_name) @@ to_tsquery('simple', 'red & !ring')", "SELECT p_partkey FROM part WHERE list_contains(string_split(p_name, ' '), 'red') AND NOT list_contains(string_split(p_name, ' '), 'ring')")
 _q("fts_phrase_prefix", "SELECT p_partkey FROM part WHERE to_tsvector('simple', p_name) @@ to_tsquery('simple', 'small <-> ri:*')", "SELECT p_partkey FROM part WHERE p_name LIKE '%small ri%'")
-_q("fts_vector", "SELECT to_tsvector('The quick brown foxes jumped over the lazy dogs') AS v, plainto_tsquery('The fat cats') AS p, websearch_to_tsquery('\"fat cats\" -mouse') AS w, ts_headline('english', 'Two cats sat', to_tsquery('cat')) AS h, numnode(to_tsquery('a1 & b1 | c1')) AS n", """SELECT '''brown'':3 ''dog'':9 ''fox'':4 ''jump'':5 ''lazi'':8 ''quick'':2' AS v, '''fat'' & ''cat''' AS p, '''fat'' <-> ''cat'' & !''mouse''' AS w, 'Two <b>cats</b> sat' AS h, 5 AS n""")
+_by_row("fts_vector", "SELECT to_tsvector('The quick brown foxes jumped over the lazy dogs') AS v, plainto_tsquery('The fat cats') AS p, websearch_to_tsquery('\"fat cats\" -mouse') AS w, ts_headline('english', 'Two cats sat', to_tsquery('cat')) AS h, numnode(to_tsquery('a1 & b1 | c1')) AS n", """SELECT '''brown'':3 ''dog'':9 ''fox'':4 ''jump'':5 ''lazi'':8 ''quick'':2' AS v, '''fat'' & ''cat''' AS p, '''fat'' <-> ''cat'' & !''mouse''' AS w, 'Two <b>cats</b> sat' AS h, 5 AS n""")
 _q("fts_rank", "SELECT p_partkey, round(ts_rank(to_tsvector('simple', p_name), to_tsquery('simple', 'red | bolt')), 9) AS r FROM part", "SELECT p_partkey, round((list_contains(string_split(p_name, ' '), 'red')::INT + list_contains(string_split(p_name, ' '), 'bolt')::INT) * 0.1 / (1 + 0.1 * len(string_split(p_name, ' '))), 9) AS r FROM part")
 
 # --- geometry -----------------------------------------------------------------------------------
@@ -182,7 +197,7 @@ _q("geo_distance", f"SELECT c_custkey, round(st_distance({_PT}, 'POINT(1 2)'), 6
 _q("geo_sphere", f"SELECT c_custkey, round(st_distancesphere({_PT}, 'POINT(0 0)'), 3) AS m FROM customer", "SELECT c_custkey, round(2 * 6371008.8 * asin(sqrt(pow(sin(radians(-(c_acctbal / 200.0)) / 2), 2) + cos(radians(c_acctbal / 200.0)) * pow(sin(radians(-(c_nationkey - 12)) / 2), 2))), 3) AS m FROM customer")
 _q("geo_dwithin", f"SELECT c_custkey FROM customer WHERE st_dwithin({_PT}, 'POINT(0 10)', 8.0)", "SELECT c_custkey FROM customer WHERE sqrt(pow(c_nationkey - 12, 2) + pow(c_acctbal / 200.0 - 10, 2)) <= 8.0")
 _q("geo_predicates", f"SELECT c_custkey, st_contains('POLYGON((-5 -5,-5 15,5 15,5 -5,-5 -5))', {_PT}) AS c, st_intersects('POLYGON((-5 -5,-5 15,5 15,5 -5,-5 -5))', {_PT}) AS i FROM customer", "SELECT c_custkey, (abs(c_nationkey - 12) < 5 AND c_acctbal / 200.0 > -5 AND c_acctbal / 200.0 < 15)::INT AS c, (abs(c_nationkey - 12) <= 5 AND c_acctbal / 200.0 BETWEEN -5 AND 15)::INT AS i FROM customer")
-_q("geo_measures", "SELECT st_area('POLYGON((0 0,4 0,4 3,0 3,0 0),(1 1,2 1,2 2,1 2,1 1))') AS a, st_length('LINESTRING(0 0,3 4,3 8)') AS l, st_perimeter('POLYGON((0 0,4 0,4 3,0 3,0 0))') AS p, st_astext(st_centroid('POLYGON((0 0,4 0,4 2,0 2,0 0))')) AS c, st_npoints('LINESTRING(0 0,1 1)') AS n, st_geometrytype('POINT(1 2)') AS t, st_astext(st_envelope('LINESTRING(0 0,2 3)')) AS e, st_asgeojson('POINT(1 2.5)') AS g", """SELECT 11.0::DOUBLE AS a, 9.0::DOUBLE AS l, 14.0::DOUBLE AS p, 'POINT(2 1)' AS c, 2 AS n, 'POINT' AS t, 'POLYGON((0 0,0 3,2 3,2 0,0 0))' AS e, '{"type":"Point","coordinates":[1,2.5]}' AS g""")
-_q("geo_relations", "SELECT st_touches('POLYGON((0 0,1 0,1 1,0 1,0 0))', 'POLYGON((1 0,2 0,2 1,1 1,1 0))') AS t, st_overlaps('POLYGON((0 0,2 0,2 2,0 2,0 0))', 'POLYGON((1 1,3 1,3 3,1 3,1 1))') AS o, st_crosses('LINESTRING(0 0,2 2)', 'LINESTRING(0 2,2 0)') AS c, st_disjoint('POINT(0 0)', 'POINT(1 1)') AS d, st_equals('LINESTRING(0 0,1 1)', 'LINESTRING(1 1,0 0)') AS e, st_within('POINT(1 1)', 'POLYGON((0 0,2 0,2 2,0 2,0 0))') AS w", "SELECT 1 AS t, 1 AS o, 1 AS c, 1 AS d, 1 AS e, 1 AS w")
-_q("geo_poly", "SELECT geopoly_area('[[0,0],[2,0],[2,2],[0,2],[0,0]]') AS a, geopoly_bbox('[[0,0],[2,1],[0,2],[0,0]]') AS b, geopoly_contains_point('[[0,0],[2,0],[2,2],[0,2],[0,0]]', 1, 1) AS c, geopoly_overlap('[[0,0],[2,0],[2,2],[0,2],[0,0]]', '[[5,5],[6,5],[6,6],[5,5]]') AS o", "SELECT 4.0::DOUBLE AS a, '[[0,0],[2,0],[2,2],[0,2],[0,0]]' AS b, 2 AS c, 0 AS o")
+_by_row("geo_measures", "SELECT st_area('POLYGON((0 0,4 0,4 3,0 3,0 0),(1 1,2 1,2 2,1 2,1 1))') AS a, st_length('LINESTRING(0 0,3 4,3 8)') AS l, st_perimeter('POLYGON((0 0,4 0,4 3,0 3,0 0))') AS p, st_astext(st_centroid('POLYGON((0 0,4 0,4 2,0 2,0 0))')) AS c, st_npoints('LINESTRING(0 0,1 1)') AS n, st_geometrytype('POINT(1 2)') AS t, st_astext(st_envelope('LINESTRING(0 0,2 3)')) AS e, st_asgeojson('POINT(1 2.5)') AS g", """SELECT 11.0::DOUBLE AS a, 9.0::DOUBLE AS l, 14.0::DOUBLE AS p, 'POINT(2 1)' AS c, 2 AS n, 'POINT' AS t, 'POLYGON((0 0,0 3,2 3,2 0,0 0))' AS e, '{"type":"Point","coordinates":[1,2.5]}' AS g""")
+_by_row("geo_relations", "SELECT st_touches('POLYGON((0 0,1 0,1 1,0 1,0 0))', 'POLYGON((1 0,2 0,2 1,1 1,1 0))') AS t, st_overlaps('POLYGON((0 0,2 0,2 2,0 2,0 0))', 'POLYGON((1 1,3 1,3 3,1 3,1 1))') AS o, st_crosses('LINESTRING(0 0,2 2)', 'LINESTRING(0 2,2 0)') AS c, st_disjoint('POINT(0 0)', 'POINT(1 1)') AS d, st_equals('LINESTRING(0 0,1 1)', 'LINESTRING(1 1,0 0)') AS e, st_within('POINT(1 1)', 'POLYGON((0 0,2 0,2 2,0 2,0 0))') AS w", "SELECT 1 AS t, 1 AS o, 1 AS c, 1 AS d, 1 AS e, 1 AS w")
+_by_row("geo_poly", "SELECT geopoly_area('[[0,0],[2,0],[2,2],[0,2],[0,0]]') AS a, geopoly_bbox('[[0,0],[2,1],[0,2],[0,0]]') AS b, geopoly_contains_point('[[0,0],[2,0],[2,2],[0,2],[0,0]]', 1, 1) AS c, geopoly_overlap('[[0,0],[2,0],[2,2],[0,2],[0,0]]', '[[5,5],[6,5],[6,6],[5,5]]') AS o", "SELECT 4.0::DOUBLE AS a, '[[0,0],[2,0],[2,2],[0,2],[0,0]]' AS b, 2 AS c, 0 AS o")
 _q("geo_knn", f"SELECT c_custkey FROM customer ORDER BY {_PT} <-> 'POINT(0 10)', c_custkey LIMIT 7", "SELECT c_custkey FROM customer ORDER BY sqrt(pow(c_nationkey - 12, 2) + pow(c_acctbal / 200.0 - 10, 2)), c_custkey LIMIT 7")

@@ -43,50 +43,46 @@ _NEW = "n AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE s_suppkey +
 _BOTH = f"WITH {_OLD}, {_NEW}"
 
 
-def dml_insert(spark, sf_dir):
-    old, new = _stock(spark, sf_dir)
-    return changes.insert(old, new.drop("s_acctbal"), {"s_acctbal": F.lit(7.5)})
-
-
-def dml_insert_ignore(spark, sf_dir):
-    old, new = _stock(spark, sf_dir)
-    return changes.insert_or_ignore(old, new, ["s_suppkey"])
-
-
-def dml_replace(spark, sf_dir):
-    old, new = _stock(spark, sf_dir)
-    return changes.insert_or_replace(old, new, ["s_suppkey"])
-
-
-def dml_upsert(spark, sf_dir):
-    old, new = _stock(spark, sf_dir)
-    return changes.upsert(old, new, ["s_suppkey"], {"s_acctbal": F.col("old.s_acctbal") + F.col("excluded.s_acctbal")}, where=F.col("excluded.s_acctbal") > 1000)
+_STOCK = (
+    "CREATE TABLE stock (s_suppkey BIGINT PRIMARY KEY, s_name TEXT, s_acctbal REAL)",
+    "INSERT INTO stock SELECT s_suppkey, s_name, s_acctbal FROM supplier",
+    "CREATE VIEW delta AS SELECT CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE s_suppkey + 100000 END AS s_suppkey, s_name || '+' AS s_name, s_acctbal + 1 AS s_acctbal FROM supplier WHERE s_suppkey % 3 = 0",
+)
 
 
-def dml_update(spark, sf_dir):
-    old, _ = _stock(spark, sf_dir)
-    return changes.update(old, {"s_acctbal": F.col("s_acctbal") * 2}, F.col("s_suppkey") % 5 == 0)
-
-
-def dml_update_from(spark, sf_dir):
-    old, new = _stock(spark, sf_dir)
-    return changes.update_from(old, new, [("s_suppkey", "s_suppkey")], {"s_name": F.col("source.s_name")})
-
-
-def dml_delete_where(spark, sf_dir):
-    old, _ = _stock(spark, sf_dir)
-    return changes.delete(old, F.col("s_acctbal") < 3000)
+def _statements(*texts: str) -> Query:
+    """What the last of some statements gives, after the stock table and its delta were made."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine = Engine(spark).load(sf_dir)
+        out = None
+        for text in (*_STOCK, *texts):
+            out = engine.sql(text)
+        return out
 
-def dml_delete_limit(spark, sf_dir):
-    old, _ = _stock(spark, sf_dir)
-    gone = changes.first_rows(old, F.col("s_acctbal") > 0, [F.col("s_acctbal"), F.col("s_suppkey")], ["s_suppkey"], 10)
-    return old.join(gone, "s_suppkey", "left_anti")
+    return run
 
 
-def dml_returning(spark, sf_dir):
-    old, _ = _stock(spark, sf_dir)
-    return old.filter("s_acctbal < 3000").select("s_suppkey", F.upper("s_name").alias("gone"))
+dml_insert = _statements("INSERT INTO stock (s_suppkey, s_name, s_acctbal) SELECT s_suppkey + 1000000, s_name, 7.5 FROM delta")
+dml_insert_ignore = _statements("INSERT OR IGNORE INTO stock SELECT * FROM delta")
+dml_replace = _statements("REPLACE INTO stock SELECT * FROM delta")
+dml_upsert = _statements("INSERT INTO stock SELECT * FROM delta WHERE true ON CONFLICT (s_suppkey) DO UPDATE SET s_acctbal = s_acctbal + excluded.s_acctbal WHERE excluded.s_acctbal > 1000")
+dml_update = _statements("UPDATE stock SET s_acctbal = s_acctbal * 2 WHERE s_suppkey % 5 = 0")
+dml_update_from = _statements("UPDATE stock SET s_name = d.s_name FROM delta AS d WHERE d.s_suppkey = stock.s_suppkey")
+dml_delete_where = _statements("DELETE FROM stock WHERE s_acctbal < 3000")
+dml_delete_limit = _statements("DELETE FROM stock WHERE s_acctbal > 0 ORDER BY s_acctbal, s_suppkey LIMIT 10")
+dml_returning = _statements("DELETE FROM stock WHERE s_acctbal < 3000 RETURNING s_suppkey, upper(s_name) AS gone")
+dml_with = _statements("WITH rich AS (SELECT s_suppkey FROM stock WHERE s_acctbal > 5000) DELETE FROM stock WHERE s_suppkey IN (SELECT s_suppkey FROM rich)")
+ddl_table_as = _statements("CREATE TABLE poor AS SELECT s_suppkey, s_name FROM stock WHERE s_acctbal < 0", "SELECT * FROM poor")
+ddl_view = _statements("DELETE FROM stock WHERE s_acctbal < 0", "CREATE VIEW names(k, v) AS SELECT s_suppkey, s_name FROM stock", "SELECT v, k FROM names")
+ddl_alter = _statements("ALTER TABLE stock ADD COLUMN kind TEXT DEFAULT 'old'", "ALTER TABLE stock RENAME COLUMN s_name TO label", "ALTER TABLE stock DROP COLUMN s_acctbal", "SELECT * FROM stock")
+pragma_table_info = _statements("PRAGMA table_info(stock)")
+ddl_cascade = _statements(
+    "CREATE TABLE part_of (id BIGINT, supplier BIGINT REFERENCES stock(s_suppkey) ON DELETE CASCADE)",
+    "INSERT INTO part_of SELECT p_partkey, s_suppkey FROM part JOIN stock ON s_suppkey = p_size",
+    "DELETE FROM stock WHERE s_acctbal < 3000",
+    "SELECT * FROM part_of",
+)
 
 
 def dml_violations(spark, sf_dir):
@@ -169,10 +165,8 @@ def stream_sessions(spark, sf_dir):
     return got.select("user_id", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-
-
 OPERATORS: dict[str, tuple[Query, str]] = {
-    "dml_insert": (dml_insert, f"{_BOTH} SELECT * FROM o UNION ALL SELECT s_suppkey, s_name, 7.5 FROM n"),
+    "dml_insert": (dml_insert, f"{_BOTH} SELECT * FROM o UNION ALL SELECT s_suppkey + 1000000, s_name, 7.5 FROM n"),
     "dml_insert_ignore": (dml_insert_ignore, f"{_BOTH} SELECT * FROM o UNION ALL SELECT * FROM n WHERE s_suppkey NOT IN (SELECT s_suppkey FROM o)"),
     "dml_replace": (dml_replace, f"{_BOTH} SELECT * FROM o WHERE s_suppkey NOT IN (SELECT s_suppkey FROM n) UNION ALL SELECT * FROM n"),
     "dml_upsert": (dml_upsert, f"{_BOTH} SELECT coalesce(o.s_suppkey, n.s_suppkey) AS s_suppkey, coalesce(o.s_name, n.s_name) AS s_name, CASE WHEN o.s_suppkey IS NULL THEN n.s_acctbal WHEN n.s_acctbal > 1000 THEN o.s_acctbal + n.s_acctbal ELSE o.s_acctbal END AS s_acctbal FROM o FULL JOIN n ON o.s_suppkey = n.s_suppkey"),
@@ -181,6 +175,12 @@ OPERATORS: dict[str, tuple[Query, str]] = {
     "dml_delete_where": (dml_delete_where, f"WITH {_OLD} SELECT * FROM o WHERE NOT s_acctbal < 3000"),
     "dml_delete_limit": (dml_delete_limit, f"WITH {_OLD} SELECT * FROM o WHERE s_suppkey NOT IN (SELECT s_suppkey FROM o WHERE s_acctbal > 0 ORDER BY s_acctbal, s_suppkey LIMIT 10)"),
     "dml_returning": (dml_returning, "SELECT s_suppkey, upper(s_name) AS gone FROM supplier WHERE s_acctbal < 3000"),
+    "dml_with": (dml_with, f"WITH {_OLD} SELECT * FROM o WHERE NOT s_acctbal > 5000"),
+    "ddl_table_as": (ddl_table_as, "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal < 0"),
+    "ddl_view": (ddl_view, "SELECT s_name AS v, s_suppkey AS k FROM supplier WHERE NOT s_acctbal < 0"),
+    "ddl_alter": (ddl_alter, "SELECT s_suppkey, s_name AS label, 'old' AS kind FROM supplier"),
+    "ddl_cascade": (ddl_cascade, "SELECT p_partkey AS id, s_suppkey AS supplier FROM part JOIN supplier ON s_suppkey = p_size WHERE NOT s_acctbal < 3000"),
+    "pragma_table_info": (pragma_table_info, "SELECT * FROM (VALUES (0, 's_suppkey', 'BIGINT', 1, NULL, 1), (1, 's_name', 'TEXT', 0, NULL, 0), (2, 's_acctbal', 'REAL', 0, NULL, 0)) AS t(cid, name, type, notnull, dflt_value, pk)"),
     "dml_violations": (dml_violations, "SELECT * FROM (SELECT 'NOT NULL o_orderstatus' AS rule, count(*) AS n FROM orders WHERE o_orderstatus IS NULL UNION ALL SELECT 'UNIQUE o_custkey', count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'CHECK price', count(*) FROM orders WHERE NOT o_totalprice > 1000 UNION ALL SELECT 'FOREIGN KEY o_custkey', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey > 3)) WHERE n > 0"),
     "changeset_diff": (changeset_diff, f"{_BOTH}, a AS (SELECT * FROM o WHERE s_suppkey % 7 <> 0 AND s_suppkey NOT IN (SELECT s_suppkey FROM n) UNION ALL SELECT * FROM n) SELECT CASE WHEN o.s_suppkey IS NULL THEN 'insert' WHEN a.s_suppkey IS NULL THEN 'delete' ELSE 'update' END AS op, coalesce(o.s_suppkey, a.s_suppkey) AS s_suppkey, o.s_name AS before, a.s_name AS after FROM o FULL JOIN a ON o.s_suppkey = a.s_suppkey WHERE o.s_suppkey IS NULL OR a.s_suppkey IS NULL OR o.s_name <> a.s_name"),
     "changeset_apply": (changeset_apply, f"WITH {_OLD} SELECT * FROM o"),
