@@ -153,7 +153,7 @@ def _week(at: str, first: int) -> str:
 
 
 def strftime(args: list[E]) -> E:
-    template, at = _format_of(args[0]), instant(args[1:])
+    template, whole, at = _format_of(args[0]), instant(args[1:]), "t__"  # a lambda binds the instant: its fields are many
     fmt = lambda p: f"date_format({at}, '{p}')"
     pad = lambda x, n, c="0": f"lpad(cast({x} AS STRING), {n}, '{c}')"
     twelve = f"(hour({at}) + 11) % 12 + 1"
@@ -180,7 +180,7 @@ def strftime(args: list[E]) -> E:
             i += 1
     if rest:
         parts.append(literal(rest))
-    return E(f"CASE WHEN {at} IS NOT NULL THEN concat({', '.join(parts) or literal('')}) END", "text")
+    return E(f"transform(array({whole}), {at} -> CASE WHEN {at} IS NOT NULL THEN concat({', '.join(parts) or literal('')}) END)[0]", "text")
 
 
 def _format_of(e: E) -> str:

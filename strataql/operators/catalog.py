@@ -166,7 +166,7 @@ _q("fn_trig", "SELECT n_nationkey, round(sin(n_nationkey), 9) AS s, round(cos(n_
 _q("fn_round", "SELECT l_orderkey, l_linenumber, round(l_quantity / 4) AS a, round(-l_quantity / 4) AS b, round(l_quantity / 8, 2) AS c, trunc(-l_quantity / 4) AS d FROM lineitem", "SELECT l_orderkey, l_linenumber, round(l_quantity / 4) AS a, round(-l_quantity / 4) AS b, round(l_quantity / 8, 2) AS c, trunc(-l_quantity / 4) AS d FROM lineitem")
 _q("fn_null_choice", "SELECT coalesce(NULL, c_acctbal) AS a, ifnull(NULL, 5) AS b, nullif(c_custkey, 3) AS c, iif(c_acctbal > 0, 'pos', 'neg') AS d, min(c_custkey, 10) AS e, max(c_custkey, NULL) AS f FROM customer", "SELECT c_acctbal AS a, 5 AS b, nullif(c_custkey, 3) AS c, CASE WHEN c_acctbal > 0 THEN 'pos' ELSE 'neg' END AS d, least(c_custkey, 10) AS e, NULL::BIGINT AS f FROM customer")
 _q("fn_hex_quote", "SELECT hex(n_name) AS h, quote(n_name || '''') AS q, typeof(n_nationkey) AS t, typeof(1.5) AS r, unicode('é') AS u, char(233, 8364) AS c, octet_length('é') AS o FROM nation", "SELECT hex(encode(n_name)) AS h, '''' || n_name || '''''''' AS q, 'integer' AS t, 'real' AS r, 233 AS u, 'é€' AS c, 2 AS o FROM nation")
-_q("fn_printf", "SELECT printf('%05d|%-6s|%.2f|%x|%,d|%%|%q', n_nationkey, n_name, 2.5, 255, 1234567, 'it''s') AS p FROM nation", "SELECT lpad(n_nationkey::VARCHAR, 5, '0') || '|' || rpad(n_name, greatest(length(n_name), 6), ' ') || '|2.50|ff|1,234,567|%|it''''s' AS p FROM nation")
+_q("fn_printf", "SELECT printf('%05d|%-6s|%.2f|%x|%,d|%%|%q', n_nationkey, n_name, 2.5, 255, 1234567, 'it''s') AS p FROM nation", "SELECT lpad(n_nationkey::VARCHAR, 5, '0') || '|' || rpad(n_name, greatest(length(n_name), 6)::INT, ' ') || '|2.50|ff|1,234,567|%|it''''s' AS p FROM nation")
 _by_row("fn_soundex", "SELECT soundex('Robert') AS a, soundex('Rupert') AS b, soundex('123') AS c", "SELECT 'R163' AS a, 'R163' AS b, '?000' AS c")
 _by_row("fn_cast_prefix", "SELECT cast('12abc' AS INTEGER) AS a, cast('x' AS INTEGER) AS b, cast('3.7e1z' AS REAL) AS c, cast(5.9 AS INTEGER) AS d, cast(7 AS TEXT) AS e, cast('yes' AS BOOLEAN) AS f, '10' + '5' AS g", "SELECT 12 AS a, 0 AS b, 37.0::DOUBLE AS c, 5 AS d, '7' AS e, 1 AS f, 15.0::DOUBLE AS g")
 _q("fn_date_parts", "SELECT o_orderkey, date(o_orderdate) AS d, time(o_orderdate) AS t, strftime('%Y-%m %j %H:%M:%S %w', o_orderdate) AS f, unixepoch(o_orderdate) AS u FROM orders", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS d, strftime(o_orderdate, '%H:%M:%S') AS t, strftime(o_orderdate, '%Y-%m %j %H:%M:%S %w') AS f, epoch(o_orderdate)::BIGINT AS u FROM orders")

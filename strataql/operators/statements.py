@@ -287,7 +287,7 @@ class Statements:
     # --- tables
 
     def _createtable(self, s: S.CreateTable, params) -> DataFrame:
-        if self.engine.columns(s.name) is not None:
+        if s.name.lower() in self.engine.tables or s.name.lower() in self.engine.views:
             if s.if_absent:
                 return self._state(s.name)
             raise SqlError(f"table {s.name} already exists")
