@@ -180,7 +180,7 @@ OPERATORS: dict[str, tuple[Query, str]] = {
     "ddl_view": (ddl_view, "SELECT s_name AS v, s_suppkey AS k FROM supplier WHERE NOT s_acctbal < 0"),
     "ddl_alter": (ddl_alter, "SELECT s_suppkey, s_name AS label, 'old' AS kind FROM supplier"),
     "ddl_cascade": (ddl_cascade, "SELECT p_partkey AS id, s_suppkey AS supplier FROM part JOIN supplier ON s_suppkey = p_size WHERE NOT s_acctbal < 3000"),
-    "pragma_table_info": (pragma_table_info, "SELECT * FROM (VALUES (0, 's_suppkey', 'BIGINT', 1, NULL, 1), (1, 's_name', 'TEXT', 0, NULL, 0), (2, 's_acctbal', 'REAL', 0, NULL, 0)) AS t(cid, name, type, notnull, dflt_value, pk)"),
+    "pragma_table_info": (pragma_table_info, "SELECT * FROM (VALUES (0, 's_suppkey', 'BIGINT', 1, NULL, 1), (1, 's_name', 'TEXT', 0, NULL, 0), (2, 's_acctbal', 'REAL', 0, NULL, 0)) AS t(cid, name, type, \"notnull\", dflt_value, pk)"),
     "dml_violations": (dml_violations, "SELECT * FROM (SELECT 'NOT NULL o_orderstatus' AS rule, count(*) AS n FROM orders WHERE o_orderstatus IS NULL UNION ALL SELECT 'UNIQUE o_custkey', count(*) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'CHECK price', count(*) FROM orders WHERE NOT o_totalprice > 1000 UNION ALL SELECT 'FOREIGN KEY o_custkey', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey > 3)) WHERE n > 0"),
     "changeset_diff": (changeset_diff, f"{_BOTH}, a AS (SELECT * FROM o WHERE s_suppkey % 7 <> 0 AND s_suppkey NOT IN (SELECT s_suppkey FROM n) UNION ALL SELECT * FROM n) SELECT CASE WHEN o.s_suppkey IS NULL THEN 'insert' WHEN a.s_suppkey IS NULL THEN 'delete' ELSE 'update' END AS op, coalesce(o.s_suppkey, a.s_suppkey) AS s_suppkey, o.s_name AS before, a.s_name AS after FROM o FULL JOIN a ON o.s_suppkey = a.s_suppkey WHERE o.s_suppkey IS NULL OR a.s_suppkey IS NULL OR o.s_name <> a.s_name"),
     "changeset_apply": (changeset_apply, f"WITH {_OLD} SELECT * FROM o"),
