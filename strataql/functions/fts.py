@@ -7,6 +7,8 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+from strataql.plans.typed import literal
+
 from .arrow import register_all
 
 # The English stop words.
@@ -18,6 +20,8 @@ STOP_WORDS = frozenset(
 )
 
 _WORD = re.compile(r"[^\W_](?:[^\W_]|')*")
+#: the same words and their possessive ending as Java's patterns
+WORD_PATTERN, POSSESSIVE = r"[\p{L}\p{N}][\p{L}\p{N}']*", "'s$"
 #: endings of words, as in the public description of Porter's second English stemmer
 VOWELS, SIBILANTS, DOUBLES, NO_SHORT = "aeiouy", ("s", "x", "z", "ch", "sh"), {"bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt"}, "wxY"
 #: endings that go where they lie in the region R1 and STEM letters stay
@@ -332,26 +336,69 @@ def nodes(q) -> int:
     return 0 if q is None else 1 if isinstance(q, Word) else 1 + sum(map(nodes, q.parts))
 
 
-def _query(text: str):
+def parsed(text: str):
+    """The tree of a canonical query, None of an empty one."""
     return parse_query(text) if text.strip() else None
 
 
-def fts_match(text: str, query: str) -> bool:
-    """A text against a query of bare words (all needed), phrases, AND, OR, NOT and word*."""
+#: the makers of queries, by the dialect's names
+QUERIES = {"to_tsquery": to_tsquery, "plainto_tsquery": plain("&"), "phraseto_tsquery": plain("<->"), "websearch_to_tsquery": websearch}
+
+
+@lru_cache(4096)
+def bare_query(query: str):
+    """A query of bare words (all needed), phrases, AND, OR, NOT and word*."""
     sql = re.sub(r"\bAND\b", "&", re.sub(r"\bOR\b", "|", re.sub(r"\bNOT\b", "&!", query)))
     sql = re.sub(r'"([^"]*)"', lambda m: "(" + " <-> ".join(m[1].split()) + ")", sql)
     sql = re.sub(r"(\w)\*", r"\1:*", sql)
     sql = re.sub(r"(?<=[\w)*])\s+(?=[\w(])", " & ", re.sub(r"\s*(<->|[&|!])\s*", r"\1", sql))
-    return matches(vector("simple", text), parse_query(sql, "simple"))
+    return parse_query(sql, "simple")
+
+
+def fts_match(text: str, query: str) -> bool:
+    return matches(vector("simple", text), bare_query(query))
+
+
+def _needed(q) -> list[str]:
+    """ASCII words without which nothing matches."""
+    if isinstance(q, Word):
+        return [q.text] if q.text.isascii() else []
+    return [w for p in q.parts for w in _needed(p)] if q.op == "&" else []
+
+
+def _over_words(q) -> str | None:
+    """The condition of a query over an array d of words; None for a phrase."""
+    if isinstance(q, Word):
+        return f"exists(d, x -> startswith(x, {literal(q.text)}))" if q.prefix else f"array_contains(d, {literal(q.text)})"
+    parts = [_over_words(p) for p in q.parts]
+    if q.op == "<->" or None in parts:
+        return None
+    return f"(NOT {parts[0]})" if q.op == "!" else f"({(' OR ' if q.op == '|' else ' AND ').join(parts)})"
+
+
+def native_match(text: str, q) -> str | None:
+    """Spark SQL for ``matches`` of a text's simple vector; None where built-in functions don't express it.
+
+    A text without the needed words isn't split; apostrophes go first, as they do from words.
+    """
+    if q is None:
+        return f"CASE WHEN {text} IS NOT NULL THEN FALSE END"
+    inside = _over_words(q)
+    if inside is None:
+        return None
+    pieces = f"regexp_extract_all({text}, {literal(WORD_PATTERN)}, 0)"
+    words = f"filter(transform({pieces}, w -> replace(regexp_replace(lower(w), {literal(POSSESSIVE)}, ''), {literal(chr(39))}, '')), w -> w <> '')"
+    missing = "".join(f" WHEN NOT contains(replace(lower({text}), {literal(chr(39))}, ''), {literal(w)}) THEN FALSE" for w in _needed(q))
+    return f"CASE WHEN {text} IS NULL THEN NULL{missing} ELSE transform(array({words}), d -> {inside})[0] END"
 
 
 def register(spark) -> None:
     register_all(
         spark,
         {
-            "s_to_tsvector": (lambda c, t: render(vector(c, t)), "string", 2), "s_to_tsquery": (to_tsquery, "string", 2), "s_plainto_tsquery": (plain("&"), "string", 2), "s_phraseto_tsquery": (plain("<->"), "string", 2),
-            "s_websearch_to_tsquery": (websearch, "string", 2), "s_ts_match": (lambda v, q: matches(parse_vector(v), _query(q)), "boolean", 2), "s_ts_rank": (lambda v, q, d: rank(parse_vector(v), _query(q), d), "double", 3),
-            "s_ts_strip": (lambda v: render(dict.fromkeys(parse_vector(v), [])), "string", 1), "s_numnode": (lambda q: nodes(_query(q)), "bigint", 1), "s_tsvector_concat": (joined, "string", 2),
-            "s_ts_headline": (lambda t, q: headline("english", t, _query(q)), "string", 2), "s_fts_match": (fts_match, "boolean", 2),
+            "s_to_tsvector": (lambda c, t: render(vector(c, t)), "string", 2), **{f"s_{name}": (make, "string", 2) for name, make in QUERIES.items()},
+            "s_ts_match": (lambda v, q: matches(parse_vector(v), parsed(q)), "boolean", 2), "s_ts_rank": (lambda v, q, d: rank(parse_vector(v), parsed(q), d), "double", 3),
+            "s_ts_strip": (lambda v: render(dict.fromkeys(parse_vector(v), [])), "string", 1), "s_numnode": (lambda q: nodes(parsed(q)), "bigint", 1), "s_tsvector_concat": (joined, "string", 2),
+            "s_ts_headline": (lambda t, q: headline("english", t, parsed(q)), "string", 2), "s_fts_match": (fts_match, "boolean", 2),
         },
     )

@@ -6,12 +6,13 @@ registered by ``install``; all else is built into Spark.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from strataql.plans.typed import NULL, NUMBERS, TEXTS, E, as_int, as_number, as_real, as_text, as_truth, as_value, common, literal, to_type
 from strataql.sql.lexer import SqlError
 
-from . import dates
+from . import dates, fts, geo
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -295,7 +296,7 @@ def _show_trgm(a: list[E]) -> E:
 
 def _haversine(a: list[E]) -> E:
     """Metres between two points; pure arithmetic on their coordinates."""
-    x1, y1, x2, y2 = (f"s_st_{c}({_t(p)})" for p in a[:2] for c in ("x", "y"))
+    x1, y1, x2, y2 = (call(f"st_{c}", [p]).sql for p in a[:2] for c in ("x", "y"))
     return great_circle(x1, y1, x2, y2, _r(a[2]) if len(a) > 2 else "6371008.8D")
 
 
@@ -342,28 +343,98 @@ _add(1, 1, json_quote=lambda a: E(_json_element(a[0]), "json"), json_error_posit
 _add(2, 2, json_arrow=_arrow("json"), json_arrow_text=_arrow("text"))
 _add(2, 2, regexp=lambda a: E(f"({_t(a[1])} RLIKE {_t(a[0])})", "bool"), similarity=_similarity, word_similarity=_udf("s_word_similarity", "real", "t"))
 _add(2, 3, regexp_like=_regexp_like)
-_add(3, 4, regexp_replace=lambda a: E(f"s_regexp_replace({', '.join(_t(x) for x in a)}{literal('') if False else ''}{', ' + literal('') if len(a) == 3 else ''})", "text"))
+_add(3, 4, regexp_replace=lambda a: E(f"s_regexp_replace({', '.join(_t(x) for x in a)}{', ' + literal('') if len(a) == 3 else ''})", "text"))
 _add(2, 4, regexp_substr=lambda a: E(f"s_regexp_substr({_t(a[0])}, {_t(a[1])}, cast({a[2].sql if len(a) > 2 else 1} AS BIGINT), cast({a[3].sql if len(a) > 3 else 1} AS BIGINT))", "text"), regexp_instr=lambda a: E(f"s_regexp_instr({_t(a[0])}, {_t(a[1])}, cast({a[2].sql if len(a) > 2 else 1} AS BIGINT), cast({a[3].sql if len(a) > 3 else 1} AS BIGINT))", "int"))
 _add(2, 3, regexp_count=lambda a: E(f"cast(regexp_count({_t(a[0]) if len(a) < 3 else f'substr({_t(a[0])}, cast({a[2].sql} AS INT))'}, {_t(a[1])}) AS BIGINT)", "int"))
 _add(1, 1, show_trgm=_show_trgm)
 
 
-def _configured(name: str) -> Callable[[list[E]], E]:
-    return lambda a: E(f"{name}({_t(a[0]) if len(a) > 1 else literal('english')}, {_t(a[-1])})", "text")
+def _vector(a: list[E]) -> E:
+    """to_tsvector; that of the simple configuration is known by its text."""
+    config = a[0].known[1:] if len(a) > 1 else ("english",)
+    return E(f"s_to_tsvector({_t(a[0]) if len(a) > 1 else literal('english')}, {_t(a[-1])})", "text", known=("words", _t(a[-1])) if config == ("simple",) else ())
 
 
-_add(1, 2, to_tsvector=_configured("s_to_tsvector"), to_tsquery=_configured("s_to_tsquery"), plainto_tsquery=_configured("s_plainto_tsquery"), phraseto_tsquery=_configured("s_phraseto_tsquery"), websearch_to_tsquery=_configured("s_websearch_to_tsquery"))
-_add(2, 2, ts_match=_udf("s_ts_match", "bool", "t"), tsvector_concat=_udf("s_tsvector_concat", "text", "t"), fts_match=_udf("s_fts_match", "bool", "t"))
+def _query(name: str) -> Callable[[list[E]], E]:
+    """A maker of a tsquery, which constants give here and now; faulty ones are left to fail in the query."""
+
+    def make(a: list[E]) -> E:
+        config = a[0].known if len(a) > 1 else ("text", "english")
+        if config[:1] == ("text",) and a[-1].known[:1] == ("text",):
+            try:
+                made = fts.QUERIES[name](config[1], a[-1].known[1])
+                return E(literal(made), "text", known=("query", fts.parsed(made)))
+            except ValueError:
+                pass
+        return E(f"s_{name}({_t(a[0]) if len(a) > 1 else literal('english')}, {_t(a[-1])})", "text")
+
+    return make
+
+
+def _ts_match(a: list[E]) -> E:
+    """Built-in functions where the words and the query are known and hold no phrase."""
+    if a[0].known[:1] == ("words",) and a[1].known[:1] == ("query",) and (sql := fts.native_match(a[0].known[1], a[1].known[1])):
+        return E(sql, "bool")
+    return E(f"s_ts_match({_t(a[0])}, {_t(a[1])})", "bool")
+
+
+def _fts_match(a: list[E]) -> E:
+    if a[1].known[:1] == ("text",):
+        try:
+            if sql := fts.native_match(_t(a[0]), fts.bare_query(a[1].known[1])):
+                return E(sql, "bool")
+        except ValueError:
+            pass
+    return E(f"s_fts_match({_t(a[0])}, {_t(a[1])})", "bool")
+
+
+_add(1, 2, to_tsvector=_vector, **{_name: _query(_name) for _name in fts.QUERIES})
+_add(2, 2, ts_match=_ts_match, tsvector_concat=_udf("s_tsvector_concat", "text", "t"), fts_match=_fts_match)
 _add(2, 3, ts_rank=lambda a: E(f"s_ts_rank({_t(a[0])}, {_t(a[1])}, {_r(a[2]) if len(a) > 2 else '0.1D'})", "real"), ts_rank_cd=lambda a: E(f"s_ts_rank({_t(a[0])}, {_t(a[1])}, {_r(a[2]) if len(a) > 2 else '0.1D'})", "real"))
 _add(1, 1, strip=_udf("s_ts_strip", "text", "t"), numnode=_udf("s_numnode", "int", "t"))
 _add(2, 3, ts_headline=lambda a: E(f"s_ts_headline({_t(a[-2])}, {_t(a[-1])})", "text"))
 
-_GEO1 = {"st_x": "real", "st_y": "real", "st_srid": "int", "st_astext": "text", "st_asgeojson": "text", "st_geometrytype": "text", "st_npoints": "int", "st_numpoints": "int", "st_isvalid": "bool", "st_startpoint": "text", "st_endpoint": "text", "st_numinteriorrings": "int", "st_exteriorring": "text", "st_isclosed": "bool", "st_isring": "bool", "st_area": "real", "st_length": "real", "st_perimeter": "real", "st_envelope": "text", "st_centroid": "text", "st_reverse": "text", "st_convexhull": "text", "geopoly_area": "real", "geopoly_bbox": "text", "geopoly_ccw": "text", "geopoly_json": "text", "geopoly_blob": "text", "geopoly_svg": "text"}
+
+
+def _coordinates(a: E) -> tuple[str, str] | None:
+    """The coordinates of what is known to be a point."""
+    if a.known[:1] == ("point",):
+        return a.known[1:]
+    shape = geo.parse(a.known[1]) if a.known[:1] == ("text",) else None
+    return tuple(f"{v!r}D" for v in shape.points[0]) if shape is not None and shape.kind == "POINT" and shape.points and all(map(math.isfinite, shape.points[0])) else None
+
+
+def _st_point(a: list[E]) -> E:
+    x, y = _r(a[0]), _r(a[1])
+    return E(f"s_st_point({x}, {y})", "text", known=("point", x, y))
+
+
+def _coordinate(i: int) -> Callable[[list[E]], E]:
+    """A point's x or y, NULL where either is."""
+
+    def make(a: list[E]) -> E:
+        if (at := _coordinates(a[0])) is not None:
+            return E(at[i] if a[0].known[0] == "text" else f"CASE WHEN {at[1 - i]} IS NOT NULL THEN {at[i]} END", "real")
+        return E(f"s_st_{'xy'[i]}({_t(a[0])})", "real")
+
+    return make
+
+
+def _st_distance(a: list[E]) -> E:
+    """Arithmetic between two known points, else the UDF of shapes."""
+    p, q = _coordinates(a[0]), _coordinates(a[1])
+    if p is None or q is None:
+        return E(f"s_st_distance({_t(a[0])}, {_t(a[1])})", "real")
+    return E(f"hypot({p[0]} - {q[0]}, {p[1]} - {q[1]})", "real")
+
+
+_GEO1 = {"st_srid": "int", "st_astext": "text", "st_asgeojson": "text", "st_geometrytype": "text", "st_npoints": "int", "st_numpoints": "int", "st_isvalid": "bool", "st_startpoint": "text", "st_endpoint": "text", "st_numinteriorrings": "int", "st_exteriorring": "text", "st_isclosed": "bool", "st_isring": "bool", "st_area": "real", "st_length": "real", "st_perimeter": "real", "st_envelope": "text", "st_centroid": "text", "st_reverse": "text", "st_convexhull": "text", "geopoly_area": "real", "geopoly_bbox": "text", "geopoly_ccw": "text", "geopoly_json": "text", "geopoly_blob": "text", "geopoly_svg": "text"}
 for _name, _kind in _GEO1.items():
     _add(1, MANY if _name == "geopoly_svg" else 1, **{_name: _udf(f"s_{_name}", _kind, "t")})
+_add(1, 1, st_x=_coordinate(0), st_y=_coordinate(1))
 for _name in ("st_contains", "st_within", "st_intersects", "st_disjoint", "st_touches", "st_crosses", "st_overlaps", "st_equals"):
     _add(2, 2, **{_name: _udf(f"s_{_name}", "bool", "t")})
-_add(2, 2, st_distance=_udf("s_st_distance", "real", "t"), st_pointn=_udf("s_st_pointn", "text", "t", "i"), st_interiorringn=_udf("s_st_interiorringn", "text", "t", "i"), st_setsrid=_udf("s_st_setsrid", "text", "t", "i"), st_makeline=_udf("s_st_makeline", "text", "t"), st_point=_udf("s_st_point", "text", "r"), st_makepoint=_udf("s_st_point", "text", "r"), st_distancespheroid=_udf("s_st_distancespheroid", "real", "t"), geopoly_overlap=_udf("s_geopoly_overlap", "int", "t"), geopoly_within=_udf("s_geopoly_within", "int", "t"))
+_add(2, 2, st_distance=_st_distance, st_pointn=_udf("s_st_pointn", "text", "t", "i"), st_interiorringn=_udf("s_st_interiorringn", "text", "t", "i"), st_setsrid=_udf("s_st_setsrid", "text", "t", "i"), st_makeline=_udf("s_st_makeline", "text", "t"), st_point=_st_point, st_makepoint=_st_point, st_distancespheroid=_udf("s_st_distancespheroid", "real", "t"), geopoly_overlap=_udf("s_geopoly_overlap", "int", "t"), geopoly_within=_udf("s_geopoly_within", "int", "t"))
 _add(2, 3, st_distancesphere=_haversine, st_rotate=_udf("s_st_rotate", "text", "t", "r"), st_expand=lambda a: E(f"s_st_expand({_t(a[0])}, {_r(a[1])}, {_r(a[-1])})", "text"))
 _add(3, 3, st_translate=_udf("s_st_translate", "text", "t", "r"), st_scale=_udf("s_st_scale", "text", "t", "r"), geopoly_contains_point=_udf("s_geopoly_contains_point", "int", "t", "r"))
 _add(1, 2, st_geomfromtext=lambda a: E(f"s_st_geomfromtext({_t(a[0])}, cast({a[1].sql if len(a) > 1 else 0} AS BIGINT))", "text"))
@@ -528,7 +599,7 @@ TABLE_FUNCTIONS: dict[str, tuple[Callable[[list[E]], str], list[tuple[str, str]]
 
 def install(spark) -> None:
     """Registers the package's UDFs and table functions with a session, once."""
-    from . import fts, geo, jsons, texts
+    from . import jsons, texts
 
     for module in (texts, jsons, fts, geo):
         module.register(spark)

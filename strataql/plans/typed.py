@@ -10,11 +10,16 @@ from typing import NamedTuple
 
 
 class E(NamedTuple):
-    """``affinity``: text or num for a column or CAST, any where values of both classes come as text."""
+    """``affinity``: text or num for a column or CAST, any where values of both classes come as text.
+
+    ``known``: what else a text is known to be, for built-in paths around a UDF: ("text", value),
+    ("point", x, y), ("words", text) of a simple tsvector or ("query", tree).
+    """
 
     sql: str
     type: str
     affinity: str = ""
+    known: tuple = ()
 
 
 def column(sql: str, kind: str) -> E:
