@@ -45,6 +45,7 @@ class Engine:
         if not getattr(spark, "_strataql_installed", False):
             registry.install(spark)
             spark.conf.set("spark.sql.cteRecursionLevelLimit", "1000")
+            spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
             spark._strataql_installed = True
 
     def register(self, name: str, df: DataFrame) -> Engine:
