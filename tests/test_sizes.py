@@ -5,3 +5,17 @@ def test_recursion_of_more_than_a_million_rows(engine, spark):
     engine.register("many", spark.range(400_000))
     got = engine.sql("WITH RECURSIVE c(k, d) AS (SELECT id, 0 FROM many UNION ALL SELECT k, d + 1 FROM c WHERE d < 3) SELECT d, count(*) AS n FROM c GROUP BY d")
     assert sorted(tuple(r) for r in got.collect()) == [(d, 400_000) for d in range(4)]
+
+
+def test_exists_in_exists_makes_no_pairs(engine, spark):
+    engine.register("w", spark.createDataFrame([(1, 1, 1), (2, 1, 2), (3, 2, 1), (4, None, 1), (5, 3, 3)], "id bigint, k bigint, j bigint"))
+    engine.register("a", spark.createDataFrame([(1, 5), (1, 2), (2, None), (3, 9)], "k bigint, y bigint"))
+    engine.register("b", spark.createDataFrame([(1, 4.0), (1, None), (2, 5.0), (None, 0.0)], "j bigint, x double"))
+    for op, yes in (("<", [1]), ("<=", [1, 2]), (">", [1, 2]), (">=", [1, 2])):
+        exists = f"EXISTS (SELECT 1 FROM a WHERE a.k = w.k AND EXISTS (SELECT 1 FROM b WHERE b.j = w.j AND x {op} y))"
+        got = engine.sql(f"SELECT id FROM w WHERE {exists}")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Cross" not in plan and "NestedLoop" not in plan
+        assert sorted(r.id for r in got.collect()) == yes
+        no = engine.sql(f"SELECT id FROM w WHERE NOT {exists}")
+        assert sorted(r.id for r in no.collect()) == sorted({1, 2, 3, 4, 5} - set(yes))
