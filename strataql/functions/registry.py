@@ -474,6 +474,24 @@ def _total(a: list[E], distinct: bool, order: str, where: str) -> E:
     return E(f"coalesce(sum({'DISTINCT ' if distinct else ''}{_r(a[0])}){where}, 0.0D)", "real")
 
 
+def exact(name: str, x: E, where: str) -> E:
+    """The sum, total or avg of REALs by their 32-bit digits from 2^64 to 2^-64, added as integers: the same
+    values give the same result in any order and over any partitions. What is beyond or below those
+    digits is added as REAL. A group may have 2^31 rows; more are an overflow error."""
+    v = _r(x)
+    unit, least = "4294967296D", "18446744073709551616D"
+    inside = f"(CASE WHEN abs({v}) < {least} THEN {v} WHEN {v} IS NOT NULL THEN 0D END)"
+    parts = (f"{inside} % (1D / {unit}) * {least}", f"{inside} % 1D * {unit}", f"{inside} % {unit}", f"{inside} / {unit}")
+    carry, digits = "0L", []
+    for part in parts:  # from the lowest; each digit keeps what is nearest to zero, so a sum has one form
+        got = f"(sum(cast({part} AS BIGINT)){where} + {carry})"
+        carry = f"shiftright({got} + 2147483648L, 32)"
+        digits.append(f"cast({got} - shiftleft({carry}, 32) AS DOUBLE)" if part is not parts[-1] else f"cast({got} AS DOUBLE)")
+    rest = f"sum(CASE WHEN abs({v}) < {least} THEN {v} % (1D / {least}) ELSE {v} END){where}"
+    total = f"({rest} + ({digits[0]} / {least} + {digits[1]} / {unit} + {digits[2]} + {digits[3]} * {unit}))"
+    return E({"sum": total, "total": f"coalesce({total}, 0.0D)", "avg": f"({total} / nullif(count({v}){where}, 0))"}[name], "real")
+
+
 def _join(a: list[E], distinct: bool, order: str, where: str) -> E:
     separator = _t(a[1]) if len(a) > 1 else "','"
     s = _t(a[0])

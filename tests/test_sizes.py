@@ -19,3 +19,16 @@ def test_exists_in_exists_makes_no_pairs(engine, spark):
         assert sorted(r.id for r in got.collect()) == yes
         no = engine.sql(f"SELECT id FROM w WHERE NOT {exists}")
         assert sorted(r.id for r in no.collect()) == sorted({1, 2, 3, 4, 5} - set(yes))
+
+
+def test_equal_sums_are_peers_in_any_order(engine, spark):
+    groups = {1: [0.1, 0.2, 0.3], 2: [0.3, 0.2, 0.1, None], 3: [-1e16, 0.5, 1e16], 4: [0.5], 5: [1e300, 1e300], 6: [None], 7: [float("inf"), 1.0], 8: [-1e-10], 9: [1e-10, -2e-10]}
+    engine.register("z", spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g int, v double").coalesce(1))
+    got = engine.sql("SELECT g, sum(v) AS t, total(v) AS u, avg(v) AS a, sum(v) FILTER (WHERE v > 0) AS p, rank() OVER (ORDER BY sum(v) DESC) AS r FROM z GROUP BY g")
+    found = {r.g: tuple(r)[1:] for r in got.collect()}
+    assert {g: r[4] for g, r in found.items()} == {7: 1, 5: 2, 1: 3, 2: 3, 3: 5, 4: 5, 8: 7, 9: 7, 6: 9}
+    assert found[1][:4] == (0.6, 0.6, 0.6 / 3, 0.6) and found[3][:4] == (0.5, 0.5, 0.5 / 3, 1e16) and found[6][:4] == (None, 0.0, None, None)
+    assert found[8][:4] == (-1e-10, -1e-10, -1e-10, None)
+    for over in ("(ORDER BY t)", "w"):
+        alias = engine.sql(f"SELECT g, sum(v) AS t, dense_rank() OVER {over} AS r FROM z WHERE g < 3 GROUP BY g WINDOW w AS (ORDER BY total(v))")
+        assert sorted((r.g, r.t, r.r) for r in alias.collect()) == [(1, 0.6, 1), (2, 0.6, 1)]
