@@ -103,7 +103,9 @@ class Engine:
         return got
 
     def emitted(self, query: N.Query, params: Mapping[str, Any] | Sequence | None = None) -> str:
-        return Emitter(self.columns, Recursion(self.spark), params, self.views, self._pragma).query(query)[0]
+        emitter = Emitter(self.columns, Recursion(self.spark), params, self.views, self._pragma)
+        emitter.spread = max(emitter.spread, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        return emitter.query(query)[0]
 
     def _pragma(self, name: str, argument: str | None) -> tuple[str, Columns]:
         told = Statements(self)._pragma(Pragma(name, argument), None)

@@ -32,3 +32,19 @@ def test_equal_sums_are_peers_in_any_order(engine, spark):
     for over in ("(ORDER BY t)", "w"):
         alias = engine.sql(f"SELECT g, sum(v) AS t, dense_rank() OVER {over} AS r FROM z WHERE g < 3 GROUP BY g WINDOW w AS (ORDER BY total(v))")
         assert sorted((r.g, r.t, r.r) for r in alias.collect()) == [(1, 0.6, 1), (2, 0.6, 1)]
+
+
+def test_pairs_of_large_groups_are_dealt_in_blocks(engine, spark):
+    rows = [(i, i % 2 if i % 50 else None, i // 3 if i % 70 else None, f"n{i}") for i in range(1400)]
+    engine.register("big", spark.createDataFrame(rows, "id bigint, g bigint, k bigint, name string"))
+    want = sorted((a[0], b[3]) for a in rows for b in rows if None not in (a[1], b[1], a[2], b[2]) and a[1] == b[1] and a[2] < b[2])
+    for text in ("SELECT a.id, b.name FROM big a JOIN big b ON a.g = b.g AND a.k < b.k", "SELECT q.id, p.name FROM big AS p, big AS q WHERE p.k > q.k AND q.g = p.g"):
+        got = engine.sql(text)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan and "collect_list" in plan
+        assert sorted(tuple(r) for r in got.collect()) == want
+    counted = engine.sql("SELECT a.g, count(*) AS n FROM big a JOIN big b ON a.g = b.g AND a.k < b.k GROUP BY a.g HAVING count(*) > 1 ORDER BY a.g DESC")
+    n = {g: sum(rows[a][1] == g for a, _ in want) for g in (1, 0)}
+    assert [tuple(r) for r in counted.collect()] == list(n.items())
+    some = engine.sql("SELECT a.id, b.id AS other FROM big a JOIN big b ON a.g = b.g AND a.k < b.k WHERE a.id < 3")
+    assert "collect_list" not in some._jdf.queryExecution().executedPlan().toString()
